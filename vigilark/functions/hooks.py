@@ -30,7 +30,9 @@ def batch_partials(df: DataFrame, partial: Callable[[pd.DataFrame], pd.DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield partial(batch)
+            result = partial(batch)
+            texts = [n for n, kind in result.dtypes.items() if pd.api.types.is_string_dtype(kind)]
+            yield result.astype(dict.fromkeys(texts, object))  # chunked strings do not cross to Spark
 
     return df.mapInPandas(run, columns)
 

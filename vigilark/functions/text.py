@@ -5,5 +5,5 @@ from pyspark.sql import functions as F
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters, in order; never an empty word."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    """Lower-case runs of letters, in order; an empty word where text starts or ends otherwise."""
+    return F.split(F.lower(text), r"[^\p{L}]+")

@@ -36,7 +36,7 @@ def uncovered_entities(entities: DataFrame, facts: DataFrame, entity_key: str, f
     return entities.join(seen, F.col(entity_key) == F.col(fact_key), "left_anti")
 
 
-def normalise_metric(df: DataFrame, peers: Sequence[str], metric: str, chunks: int = 64) -> DataFrame:
+def normalise_metric(df: DataFrame, peers: Sequence[str], metric: str, chunks: int | None = None) -> DataFrame:
     """Add min-max, z-score and percent rank of ``metric`` within its peer group.
 
     A group without spread gives null for the first two. The percent rank is the share of

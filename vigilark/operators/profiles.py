@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilark.plans.chunked import value_ranks
+from vigilark.plans.chunked import ranks_around
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def quantile_profile(
     value: str,
     fractions: Sequence[float],
     approximate: bool = False,
-    chunks: int = 64,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Quantiles per group, one row per group and fraction, interpolated between neighbours.
 
@@ -57,17 +57,12 @@ def quantile_profile(
         sketch = df.groupBy(*groups).agg(F.percentile_approx(value, list(fractions), 10000).alias("_q"))
         pairs = F.arrays_zip(F.array(*[F.lit(float(f)) for f in fractions]).alias("fraction"), F.col("_q").alias("quantile"))
         return sketch.select(*groups, F.inline(pairs).alias("fraction", "quantile"))
-    ranks = value_ranks(df, groups, value, chunks).withColumn(
-        "fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
-    )
-    position = F.col("fraction") * (F.col("n_total") - 1)
-    covers = lambda place: (F.col("n_below") <= place) & (place < F.col("n_below") + F.col("n_equal"))
-    ranks = ranks.withColumns({"_low": F.floor(position), "_high": F.ceil(position), "_part": position - F.floor(position)})
-    found = ranks.where(covers(F.col("_low")) | covers(F.col("_high")))
-    ends = found.groupBy(*groups, "fraction").agg(
-        F.max(F.when(covers(F.col("_low")), F.col(value))).alias("_a"),
-        F.max(F.when(covers(F.col("_high")), F.col(value))).alias("_b"),
-        F.max("_part").alias("_part"),
+    ranks = ranks_around(df, groups, value, fractions, chunks)
+    covers = lambda place: (F.col("n_below") <= F.col(place)) & (F.col(place) < F.col("n_below") + F.col("n_equal"))
+    ends = ranks.where(covers("low") | covers("high")).groupBy(*groups, "fraction").agg(
+        F.max(F.when(covers("low"), F.col(value))).alias("_a"),
+        F.max(F.when(covers("high"), F.col(value))).alias("_b"),
+        F.max("part").alias("_part"),
     )
     return ends.select(
         *groups, "fraction", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("quantile")

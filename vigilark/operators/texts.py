@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.text import words
 from vigilark.operators.entities import top_k_per_group
+from vigilark.plans.keyed import broadcast_if_small, use_all_cores
+
+
+def exploded_words(df: DataFrame, key: str, text: str) -> DataFrame:
+    rows = use_all_cores(df.select(key, text), key)
+    return rows.select(key, F.explode(words(F.col(text))).alias("term")).where("term <> ''")
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """How often each word occurs in each row's text."""
     return (
-        df.select(key, F.explode(words(F.col(text))).alias("term"))
+        exploded_words(df, key, text)
         .groupBy(key, "term")
         .agg(F.count("*").alias("n"))
     )
@@ -21,11 +27,11 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 def dictionary_tags(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """Hits and weighted score per row and tag, for a dictionary of (term, tag, weight).
 
-    Spark broadcasts the dictionary when it is small, and only hits are shuffled.
+    A dictionary that is counted to be small is broadcast, and then only hits are shuffled.
     """
-    terms = df.select(key, F.explode(words(F.col(text))).alias("term"))
     return (
-        terms.join(dictionary, "term")
+        exploded_words(df, key, text)
+        .join(broadcast_if_small(dictionary), "term")
         .groupBy(key, "tag")
         .agg(F.count("*").alias("n_hits"), F.sum("weight").alias("score"))
     )
@@ -34,7 +40,8 @@ def dictionary_tags(df: DataFrame, key: str, text: str, dictionary: DataFrame) -
 def tf_idf_terms(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """The ``k`` terms with the highest tf × ln((N + 1) / (df + 1)) per row."""
     tf = term_counts(df, key, text)
-    frequency = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Counting by ``n`` keeps both uses of ``tf`` alike, so that Spark shuffles it only once.
+    frequency = tf.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
     n_texts = df.agg(F.count("*")).scalar()
     scored = tf.join(frequency, "term").select(
         key,

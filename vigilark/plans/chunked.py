@@ -9,6 +9,7 @@ the rows are shuffled once, by key and chunk.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -60,28 +61,42 @@ def only_rows(df: DataFrame, *drop: str) -> DataFrame:
     return df.where(F.col(IS_ROW) == 1).drop(IS_ROW, CHUNK, *drop)
 
 
-def value_ranks(df: DataFrame, groups: Sequence[str], value: str, chunks: int = 64) -> DataFrame:
-    """One row per group and distinct value: how many rows equal it, lie below it, exist in all.
+def spread(df: DataFrame, chunks: int | None) -> int:
+    """How many chunks to cut: as many as the session has shuffle partitions, if not given."""
+    return chunks or min(1024, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
-    Chunk bounds come from approximate quantiles of the distinct values, so chunks are of
-    like size however the values are spread; the counts themselves are exact.
+
+def placed_counts(df: DataFrame, groups: Sequence[str], value: str, chunks: int | None = None) -> DataFrame:
+    """Rows per group and distinct value, with the chunk of the value in the order of values.
+
+    Chunk bounds are approximate quantiles over all rows, one small array whatever the
+    groups. So a chunk holds about rows / chunks values of any one group, also of a hot one.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(F.count("*").alias("n_equal"))
-    )
-    fractions = [i / chunks for i in range(1, chunks)]
-    bounds = counts.groupBy(*groups).agg(F.percentile_approx(value, fractions, 1000).alias("_bounds"))
-    placed = join_null_safe(counts, bounds, groups) if groups else counts.withColumn(
-        "_bounds", bounds.scalar()
+    n = spread(df, chunks)
+    present = df.where(F.col(value).isNotNull())
+    fractions = [i / n for i in range(1, n)]
+    bounds = present.agg(F.array_distinct(F.percentile_approx(value, fractions, 4 * n))).scalar()
+    below = lambda array: F.size(F.filter(array, lambda b: b < F.col(value)))
+    # Two short scans of the sorted bounds: first every step-th, then the ones in between.
+    step = max(2, math.isqrt(n))
+    coarse = below(F.filter("_bounds", lambda b, i: i % step == step - 1))
+    chunk = F.col("_coarse") * step + below(F.slice("_bounds", F.col("_coarse") * step + 1, step - 1))
+    counts = present.groupBy(*groups, value).agg(F.count("*").alias("n_equal"))
+    return (
+        counts.withColumn("_bounds", bounds)
+        .withColumn("_coarse", coarse)
+        .withColumn(CHUNK, chunk)
+        .drop("_bounds", "_coarse")
     )
-    chunk = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+
+
+def value_ranks(df: DataFrame, groups: Sequence[str], value: str, chunks: int | None = None) -> DataFrame:
+    """One row per group and distinct value: how many rows equal it, lie below it, exist in all."""
     keys = list(groups)
     merged = with_inherited(
-        placed.withColumn("_at", chunk).drop("_bounds"),
+        placed_counts(df, keys, value, chunks),
         keys,
-        F.col("_at"),
+        F.col(CHUNK),
         {"_rows": F.sum("n_equal")},
         {
             "_before": F.coalesce(F.sum("_rows").over(earlier_chunks(keys)), F.lit(0)),
@@ -98,3 +113,31 @@ def value_ranks(df: DataFrame, groups: Sequence[str], value: str, chunks: int =
         IS_ROW,
     )
     return ranked.where(F.col(IS_ROW) == 1).drop(IS_ROW)
+
+
+def ranks_around(
+    df: DataFrame, groups: Sequence[str], value: str, fractions: Sequence[float], chunks: int | None = None
+) -> DataFrame:
+    """As ``value_ranks``, but only for the chunks in which the given fractions of a group fall.
+
+    The other chunks are only counted, so hardly any values are shuffled a second time.
+    Adds ``fraction`` and the places ``low`` and ``high`` (from 0) on either side of it.
+    """
+    keys = list(groups)
+    placed = placed_counts(df, keys, value, chunks)
+    totals = placed.groupBy(*keys, CHUNK).agg(F.sum("n_equal").alias("_rows"))
+    located = totals.select(
+        *keys,
+        CHUNK,
+        "_rows",
+        F.coalesce(F.sum("_rows").over(earlier_chunks(keys)), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy(*keys)).alias("n_total"),
+    ).withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    place = F.col("fraction") * (F.col("n_total") - 1)
+    located = located.withColumns({"low": F.floor(place), "high": F.ceil(place), "part": place - F.floor(place)})
+    inside = lambda p: (F.col("_before") <= F.col(p)) & (F.col(p) < F.col("_before") + F.col("_rows"))
+    wanted = located.where(inside("low") | inside("high")).drop("_rows")
+    w = Window.partitionBy(*keys, CHUNK, "fraction").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return join_null_safe(placed, wanted, [*keys, CHUNK]).withColumn(
+        "n_below", F.col("_before") + F.coalesce(F.sum("n_equal").over(w), F.lit(0))
+    )

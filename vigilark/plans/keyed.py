@@ -7,6 +7,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -21,3 +22,20 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     condition = reduce(and_, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Ask for a broadcast of a narrow table after counting that it has at most ``max_rows``.
+
+    The count stops there. A larger table is left to Spark, which then merges sorted sides.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows by key when the input has fewer splits than the cluster has cores.
+
+    For costly work per row on a few files. An input of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

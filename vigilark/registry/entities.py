@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark.operators import entities as ops
@@ -11,8 +11,9 @@ from vigilark.registry import query
 from vigilark.sources.scan import checked_scan
 from vigilark.sources.tables import schema_of, table
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-COUNT = F.lit(1).cast("bigint")
+
+def _one() -> Column:
+    return F.lit(1).cast("bigint")
 
 
 def _suppliers(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +28,7 @@ def _suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 def _spend(spark: SparkSession, d: str) -> DataFrame:
     return ops.entity_totals(
-        table(spark, d, "lineitem"), "l_suppkey", {"spend": F.col("l_extendedprice"), "n_lines": COUNT}
+        table(spark, d, "lineitem"), "l_suppkey", {"spend": F.col("l_extendedprice"), "n_lines": _one()}
     )
 
 
@@ -203,7 +204,9 @@ def hierarchy_rollup(spark: SparkSession, d: str) -> DataFrame:
     return rolled.withColumn("spend", F.round("spend", 2))
 
 
-_CUBE_MEASURES = {"quantity": F.col("l_quantity"), "revenue": REVENUE, "n_lines": COUNT}
+def _measures() -> dict[str, Column]:
+    revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return {"quantity": F.col("l_quantity"), "revenue": revenue, "n_lines": _one()}
 
 
 @query(
@@ -216,7 +219,7 @@ _CUBE_MEASURES = {"quantity": F.col("l_quantity"), "revenue": REVENUE, "n_lines"
 )
 def cross_cube(spark: SparkSession, d: str) -> DataFrame:
     """P08."""
-    cube = ops.cross_cube(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], _CUBE_MEASURES)
+    cube = ops.cross_cube(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], _measures())
     return cube.withColumn("revenue", F.round("revenue", 4))
 
 
@@ -234,7 +237,7 @@ def chosen_sets(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "lineitem"),
         [["l_returnflag"], ["l_linestatus"]],
         ["l_returnflag", "l_linestatus"],
-        _CUBE_MEASURES,
+        _measures(),
     )
     return sets.withColumn("revenue", F.round("revenue", 4))
 

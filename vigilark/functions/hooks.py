@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 
 def register_scalar(spark: SparkSession, name: str, function: Callable[..., pd.Series], kind: str) -> None:
@@ -28,11 +29,13 @@ def batch_partials(df: DataFrame, partial: Callable[[pd.DataFrame], pd.DataFrame
     with a grouped-aggregate Pandas function.
     """
 
+    texts = [f.name for f in StructType.fromDDL(columns) if isinstance(f.dataType, StringType)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             result = partial(batch)
-            texts = [n for n, kind in result.dtypes.items() if pd.api.types.is_string_dtype(kind)]
-            yield result.astype(dict.fromkeys(texts, object))  # chunked strings do not cross to Spark
+            # pandas holds a text column of nulls only as numbers
+            yield result.assign(**{t: result[t].astype(object).where(result[t].notna(), None) for t in texts})
 
     return df.mapInPandas(run, columns)
 

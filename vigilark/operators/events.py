@@ -212,11 +212,10 @@ def drift_alarms(
     its least value so far, so running sums and minima give it for all events at once.
     """
     w = Window.partitionBy(key, CHUNK).orderBy(time, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The null filter is stated here so that both uses of ``rows`` share one shuffle.
     rows = (
-        df.where(F.col(key).isNotNull())
-        .withColumns(
-            {CHUNK: F.col(time).cast("date"), "_step": F.col(value) - F.col(target) - F.lit(slack)}
-        )
+        df.withColumns({CHUNK: F.col(time).cast("date"), "_step": F.col(value) - F.col(target) - F.lit(slack)})
+        .where(F.col(key).isNotNull() & F.col(CHUNK).isNotNull())
         .withColumn("_run", F.sum("_step").over(w))
         .withColumn("_run_low", F.min("_run").over(w))
     )

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.functions.numeric import ratio
 from vigilark.functions.temporal import month_index, month_start
-from vigilark.plans.keyed import join_null_safe
 
 
 def period_change(facts: DataFrame, groups: Sequence[str], time: str, amount: str) -> DataFrame:
@@ -52,23 +52,24 @@ def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -
     return df.unpivot(list(ids), list(metrics), "metric", "value")
 
 
+def _side_by_side(old: DataFrame, new: DataFrame, keys: Sequence[str], before: Column, after: Column) -> DataFrame:
+    """``keys`` with structs ``_old`` and ``_new`` of the two rows; null keys are equal."""
+    left = old.select(*keys, before.alias("_old"))
+    right = new.select(*[F.col(k).alias(f"_right_{k}") for k in keys], after.alias("_new"))
+    same = reduce(and_, [left[k].eqNullSafe(right[f"_right_{k}"]) for k in keys])
+    key = lambda k: F.when(F.col("_old").isNull(), F.col(f"_right_{k}")).otherwise(F.col(k)).alias(k)
+    return left.join(right, same, "full_outer").select(*[key(k) for k in keys], "_old", "_new")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Added, removed and changed rows between two versions keyed by ``keys``."""
-    before = old.select(*keys, F.struct(*values).alias("_old"))
-    after = new.select(*keys, F.struct(*values).alias("_new"))
-    right = after.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    condition = [before[k].eqNullSafe(right[f"_right_{k}"]) for k in keys]
-    both = before.join(right, reduce(lambda a, b: a & b, condition), "full_outer")
     status = (
         F.when(F.col("_old").isNull(), "added")
         .when(F.col("_new").isNull(), "removed")
         .when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
     )
-    return both.select(
-        *[
-            F.when(F.col("_old").isNull(), F.col(f"_right_{k}")).otherwise(F.col(k)).alias(k)
-            for k in keys
-        ],
+    return _side_by_side(old, new, keys, F.struct(*values), F.struct(*values)).select(
+        *keys,
         status.alias("status"),
         *[F.col(f"_old.{v}").alias(f"old_{v}") for v in values],
         *[F.col(f"_new.{v}").alias(f"new_{v}") for v in values],
@@ -99,15 +100,7 @@ def upsert_latest(
     Both inputs hold a key at most once.
     """
     values = [c for c in current.columns if c not in keys]
-    old = current.select(*keys, F.struct(F.col(version).alias("_version"), F.lit(0).alias("_source"), *values).alias("_row"))
-    new = updates.select(*keys, F.struct(F.col(version).alias("_version"), F.lit(1).alias("_source"), *values).alias("_row"))
-    right = new.withColumnRenamed("_row", "_new")
-    merged = (
-        join_null_safe(old, right, keys, "left")
-        .unionByName(join_null_safe(new, old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
-    )
-    newer = F.col("_new").isNotNull() & (
-        F.struct("_new._version", "_new._source") > F.struct("_row._version", "_row._source")
-    )
-    winner = F.when(newer, F.col("_new")).otherwise(F.col("_row"))
-    return merged.select(*keys, winner.alias("_row")).select(*keys, *[f"_row.{v}" for v in values])
+    both = _side_by_side(current, updates, keys, F.struct(*values), F.struct(*values))
+    keeps = F.col("_new").isNull() | (F.col(f"_old.{version}") > F.col(f"_new.{version}"))
+    winner = F.when(keeps, F.col("_old")).otherwise(F.col("_new"))
+    return both.select(*keys, winner.alias("_row")).select(*keys, *[f"_row.{v}" for v in values])

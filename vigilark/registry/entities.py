@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark.operators import entities as ops
-from vigilark.operators import profiles, rules
+from vigilark.operators import links, profiles, rules
 from vigilark.registry import query
 from vigilark.sources.scan import checked_scan
 from vigilark.sources.tables import schema_of, table
@@ -393,3 +393,32 @@ def rule_metrics(spark: SparkSession, d: str) -> DataFrame:
     )
     metrics = rules.rule_metrics(scored, "o_totalprice", "actual", 10000)
     return metrics.withColumns({n: F.round(n, 6) for n in ("precision", "recall", "f1")})
+
+
+@query(
+    """
+    WITH RECURSIVE pairs AS (
+        SELECT DISTINCT 2 * l_suppkey AS a, 2 * l_partkey + 1 AS b FROM lineitem
+        WHERE l_returnflag = 'R' AND l_quantity >= 49
+    ), links AS (
+        SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+    ), reached(node, label) AS (
+        SELECT a, a FROM links
+        UNION
+        SELECT b, label FROM reached JOIN links ON node = a WHERE label < b
+    )
+    SELECT CASE WHEN node % 2 = 0 THEN 'supplier' ELSE 'part' END AS kind, CAST(node // 2 AS BIGINT) AS key,
+           CAST(min(label) AS BIGINT) AS group_id
+    FROM reached GROUP BY node
+    """
+)
+def linked_groups(spark: SparkSession, d: str) -> DataFrame:
+    """P21 re-aimed at entities: suppliers and parts linked by large returned lines."""
+    returned = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49")
+    pairs = returned.select((2 * F.col("l_suppkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b"))
+    found = links.linked_groups(pairs, "a", "b")
+    return found.select(
+        F.when(F.col("entity") % 2 == 0, "supplier").otherwise("part").alias("kind"),
+        F.floor(F.col("entity") / 2).alias("key"),
+        "group_id",
+    )

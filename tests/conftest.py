@@ -14,6 +14,7 @@ from vigilark.session import local_session  # noqa: E402
 def spark():
     session = local_session(8)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ def test_value_ranks_equal_brute_force(spark, chunks):
     want = []
     for g in {d[1] for d in data}:
         values = [v for _, h, v in data if h == g and v is not None]
-        want += [(g, v, values.count(v), sum(x < v for x in values), len(values)) for v in set(values)]
+        group = (len(values), min(values), max(values), round(statistics.mean(values), 9), round(statistics.stdev(values), 9))
+        want += [(g, v, values.count(v), sum(x < v for x in values), *group) for v in set(values)]
     got = value_ranks(frame(spark, data), ["g"], "v", chunks)
+    got = got.withColumns({"mean": F.round("mean", 9), "deviation": F.round("deviation", 9)})
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 

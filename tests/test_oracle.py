@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on whole tables."""
+"""Every registered query against its SQL on whole tables, and what its plan must not hold."""
 
 from __future__ import annotations
 
@@ -24,6 +24,10 @@ def test_query_equals_sql(spark, con, name):
         assert difference(df, con, SQL[name]) is None
     else:
         assert df.count() > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    if not name.startswith(("user_scalar", "user_aggregate", "user_table")):
+        assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_sql_has_no_orphans():

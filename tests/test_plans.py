@@ -14,14 +14,6 @@ def plan(spark, name):
     return QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_joins_and_no_python_but_the_hooks(spark, name):
-    text = plan(spark, name)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if not name.startswith("user_") or name == "user_sessions":
-        assert "Python" not in text and "Pandas" not in text
-
-
 def test_filters_and_columns_reach_the_scan(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     text = plan(spark, "filter_project")

@@ -42,25 +42,15 @@ def normalise_metric(df: DataFrame, peers: Sequence[str], metric: str, chunks: i
     A group without spread gives null for the first two. The percent rank is the share of
     the other peers that lie below; it is 0 for a lone peer and null for a null metric.
     """
-    stats = df.groupBy(*peers).agg(
-        F.min(metric).alias("_low"),
-        F.max(metric).alias("_high"),
-        F.avg(metric).alias("_mean"),
-        F.stddev_samp(metric).alias("_deviation"),
-    )
-    ranks = value_ranks(df, peers, metric, chunks).select(
+    value = F.col(metric)
+    scores = value_ranks(df, peers, metric, chunks).select(
         *peers,
         metric,
+        min_max(value, F.col("lowest"), F.col("highest")).alias(f"{metric}_min_max"),
+        z_score(value, F.col("mean"), F.col("deviation")).alias(f"{metric}_z_score"),
         F.coalesce(ratio(F.col("n_below"), F.col("n_total") - 1), F.lit(0.0)).alias(f"{metric}_pct_rank"),
     )
-    value = F.col(metric)
-    scored = join_null_safe(df, stats, peers).withColumns(
-        {
-            f"{metric}_min_max": min_max(value, F.col("_low"), F.col("_high")),
-            f"{metric}_z_score": z_score(value, F.col("_mean"), F.col("_deviation")),
-        }
-    )
-    return join_null_safe(scored, ranks, [*peers, metric], "left").drop("_low", "_high", "_mean", "_deviation")
+    return join_null_safe(df, scores, [*peers, metric], "left")
 
 
 def composite_score(df: DataFrame, weights: dict[str, float], name: str = "score") -> DataFrame:

@@ -11,6 +11,7 @@ from vigilark.functions.vectors import cosine
 from vigilark.operators.entities import top_k_per_group
 from vigilark.operators.profiles import quantile_profile
 from vigilark.plans.keyed import join_null_safe
+from vigilark.plans.rounds import sized
 
 
 def group_centroids(df: DataFrame, groups: Sequence[str], vector: str, length: int) -> DataFrame:
@@ -25,7 +26,7 @@ def similarity_to_centroid(
     df: DataFrame, key: str, groups: Sequence[str], vector: str, length: int
 ) -> DataFrame:
     """Cosine of each vector with the centroid of its own group."""
-    centroids = group_centroids(df, groups, vector, length).select(*groups, "centroid")
+    centroids = sized(group_centroids(df, groups, vector, length).select(*groups, "centroid"))
     return join_null_safe(df, centroids, groups).select(
         key, *groups, cosine(F.col(vector), F.col("centroid")).alias("similarity")
     )
@@ -46,7 +47,6 @@ def centroid_outliers(
     scored = similarity_to_centroid(df, key, groups, vector, length).select(
         key, *groups, F.round(1 - F.col("similarity"), 9).alias("distance")
     )
-    bounds = quantile_profile(scored, groups, "distance", [fraction]).select(
-        *groups, F.round("quantile", 9).alias("bound")
-    )
+    bounds = quantile_profile(scored, groups, "distance", [fraction])
+    bounds = sized(bounds.select(*groups, F.round("quantile", 9).alias("bound")))
     return join_null_safe(scored, bounds, groups).where("distance > bound")

@@ -9,13 +9,13 @@ the rows are shuffled once, by key and chunk.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from vigilark.plans.keyed import join_null_safe
+from vigilark.plans.rounds import sized
 
 CHUNK = "_chunk"
 IS_ROW = "_is_row"
@@ -66,50 +66,67 @@ def spread(df: DataFrame, chunks: int | None) -> int:
     return chunks or min(1024, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def placed_counts(df: DataFrame, groups: Sequence[str], value: str, chunks: int | None = None) -> DataFrame:
-    """Rows per group and distinct value, with the chunk of the value in the order of values.
+def placed(df: DataFrame, groups: Sequence[str], value: str, chunks: int | None = None) -> DataFrame:
+    """``groups`` and ``value`` of the rows with a value, and the chunk of it in the order of values.
 
     Chunk bounds are approximate quantiles over all rows, one small array whatever the
     groups. So a chunk holds about rows / chunks values of any one group, also of a hot one.
     """
     n = spread(df, chunks)
-    present = df.where(F.col(value).isNotNull())
+    present = df.where(F.col(value).isNotNull()).select(*groups, value)
     fractions = [i / n for i in range(1, n)]
-    bounds = present.agg(F.array_distinct(F.percentile_approx(value, fractions, 4 * n))).scalar()
-    below = lambda array: F.size(F.filter(array, lambda b: b < F.col(value)))
-    # Two short scans of the sorted bounds: first every step-th, then the ones in between.
-    step = max(2, math.isqrt(n))
-    coarse = below(F.filter("_bounds", lambda b, i: i % step == step - 1))
-    chunk = F.col("_coarse") * step + below(F.slice("_bounds", F.col("_coarse") * step + 1, step - 1))
-    counts = present.groupBy(*groups, value).agg(F.count("*").alias("n_equal"))
-    return (
-        counts.withColumn("_bounds", bounds)
-        .withColumn("_coarse", coarse)
-        .withColumn(CHUNK, chunk)
-        .drop("_bounds", "_coarse")
-    )
+    bounds = present.agg(F.percentile_approx(value, fractions, 4 * n)).scalar()
+    # How many bounds lie below the value, by halving; each step stays in generated code.
+    found = present.withColumns({"_bounds": bounds, CHUNK: F.lit(0)})
+    step = 1 << (n.bit_length() - 1)
+    while step:
+        above = F.get("_bounds", F.col(CHUNK) + step - 1) < F.col(value)
+        found = found.withColumn(CHUNK, F.col(CHUNK) + F.when(above, step).otherwise(0))
+        step //= 2
+    return found.drop("_bounds")
 
 
 def value_ranks(df: DataFrame, groups: Sequence[str], value: str, chunks: int | None = None) -> DataFrame:
-    """One row per group and distinct value: how many rows equal it, lie below it, exist in all."""
+    """One row per group and distinct value: how many rows equal it and lie below it.
+
+    Also, on every row, the count, least, greatest, mean and sample deviation of the group.
+    """
     keys = list(groups)
-    merged = with_inherited(
-        placed_counts(df, keys, value, chunks),
-        keys,
-        F.col(CHUNK),
-        {"_rows": F.sum("n_equal")},
-        {
-            "_before": F.coalesce(F.sum("_rows").over(earlier_chunks(keys)), F.lit(0)),
-            "_all": F.sum("_rows").over(Window.partitionBy(*keys)),
-        },
+    rows = placed(df, keys, value, chunks)
+    group = Window.partitionBy(*keys)
+    parts = (
+        rows.groupBy(*keys, CHUNK)
+        .agg(
+            F.count("*").alias("_n"),
+            F.min(value).alias("_low"),
+            F.max(value).alias("_high"),
+            F.avg(value).alias("_avg"),
+            F.var_pop(value).alias("_var"),
+        )
+        .withColumn("n_total", F.sum("_n").over(group))
+        .withColumn("mean", F.sum(F.col("_n") * F.col("_avg")).over(group) / F.col("n_total"))
     )
+    squares = F.sum(F.col("_n") * (F.col("_var") + F.pow(F.col("_avg") - F.col("mean"), 2))).over(group)
+    leading = parts.select(
+        *keys,
+        CHUNK,
+        F.lit(0).alias(IS_ROW),
+        F.coalesce(F.sum("_n").over(earlier_chunks(keys)), F.lit(0)).alias("_before"),
+        "n_total",
+        F.min("_low").over(group).alias("lowest"),
+        F.max("_high").over(group).alias("highest"),
+        "mean",
+        F.sqrt(F.try_divide(squares, F.col("n_total") - 1)).alias("deviation"),
+    )
+    counts = rows.groupBy(*keys, CHUNK, value).agg(F.count("*").alias("n_equal")).withColumn(IS_ROW, F.lit(1))
     w = within_chunk(keys, [F.col(value)])
-    ranked = merged.select(
+    of_group = ["n_total", "lowest", "highest", "mean", "deviation"]
+    ranked = counts.unionByName(leading, allowMissingColumns=True).select(
         *keys,
         value,
         "n_equal",
         (F.first("_before").over(w) + F.coalesce(F.sum("n_equal").over(w), F.lit(0)) - F.col("n_equal")).alias("n_below"),
-        F.first("_all").over(w).alias("n_total"),
+        *[F.first(c).over(w).alias(c) for c in of_group],
         IS_ROW,
     )
     return ranked.where(F.col(IS_ROW) == 1).drop(IS_ROW)
@@ -118,14 +135,15 @@ def value_ranks(df: DataFrame, groups: Sequence[str], value: str, chunks: int |
 def ranks_around(
     df: DataFrame, groups: Sequence[str], value: str, fractions: Sequence[float], chunks: int | None = None
 ) -> DataFrame:
-    """As ``value_ranks``, but only for the chunks in which the given fractions of a group fall.
+    """Ranks as in ``value_ranks``, only for the chunks in which the given fractions of a group fall.
 
-    The other chunks are only counted, so hardly any values are shuffled a second time.
-    Adds ``fraction`` and the places ``low`` and ``high`` (from 0) on either side of it.
+    All rows are counted per chunk, which shuffles one row per task, group and chunk. Then
+    only rows of the chunks that matter are shuffled. Adds ``fraction`` and the places
+    ``low`` and ``high`` (from 0) on either side of it.
     """
     keys = list(groups)
-    placed = placed_counts(df, keys, value, chunks)
-    totals = placed.groupBy(*keys, CHUNK).agg(F.sum("n_equal").alias("_rows"))
+    rows = placed(df, keys, value, chunks)
+    totals = rows.groupBy(*keys, CHUNK).agg(F.count("*").alias("_rows"))
     located = totals.select(
         *keys,
         CHUNK,
@@ -136,8 +154,12 @@ def ranks_around(
     place = F.col("fraction") * (F.col("n_total") - 1)
     located = located.withColumns({"low": F.floor(place), "high": F.ceil(place), "part": place - F.floor(place)})
     inside = lambda p: (F.col("_before") <= F.col(p)) & (F.col(p) < F.col("_before") + F.col("_rows"))
-    wanted = located.where(inside("low") | inside("high")).drop("_rows")
-    w = Window.partitionBy(*keys, CHUNK, "fraction").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return join_null_safe(placed, wanted, [*keys, CHUNK]).withColumn(
-        "n_below", F.col("_before") + F.coalesce(F.sum("n_equal").over(w), F.lit(0))
+    wanted = sized(located.where(inside("low") | inside("high")).drop("_rows", "n_total"))
+    place_of = ["fraction", "_before", "low", "high", "part"]
+    counts = (
+        join_null_safe(rows, wanted, [*keys, CHUNK])
+        .groupBy(*keys, CHUNK, *place_of, value)
+        .agg(F.count("*").alias("n_equal"))
     )
+    w = Window.partitionBy(*keys, CHUNK, "fraction").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("n_below", F.col("_before") + F.coalesce(F.sum("n_equal").over(w), F.lit(0)))

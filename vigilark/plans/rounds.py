@@ -1,4 +1,4 @@
-"""Iteration: results of a round are written out, so that lineage does not grow."""
+"""Tables written between steps: for iteration, and so that Spark knows a table's true size."""
 
 from __future__ import annotations
 
@@ -36,3 +36,13 @@ class Rounds:
         self.done += 1
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Write a derived table now and read it back.
+
+    Spark takes an aggregate to be about as large as its input, and so would shuffle a large
+    table to join it. Of a written table it knows the size: a small one is broadcast, a
+    large one is sort-merged.
+    """
+    return Rounds(df.sparkSession).cut(df)

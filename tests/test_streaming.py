@@ -186,3 +186,32 @@ def test_alert_sink_counts_a_repeated_batch_once_and_resumes(spark, tmp_path):
     batch = spark.read.parquet(f"{path}/batch_id=0")
     sinks.alert_writer(path)(spark.createDataFrame(batch.collect(), batch.schema), 0)
     assert read() == [(1, 3), (2, 1)]
+
+
+def test_followed_stream_equals_batch(spark, feed, tmp_path, rocksdb):
+    events = events_of(spark, feed).where("event_type IN ('error', 'purchase')")
+    marked = events.withColumn("follows", F.col("event_type") == "purchase")
+    day = 24 * 3600 * 1000
+    streamed = run(
+        state.followed_state(marked, "user_id", "ts", "event_id", "follows", ("next_id", "next_ts"), day), "followed", "append", tmp_path
+    )
+    all_events = table(spark, DATA, "events")
+    of = lambda kind: all_events.where(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    batch = ops.as_of(of("error"), of("purchase"), "user_id", "ts", "event_id", {"event_id": "next_id"}, forward=True, within="1 day")
+    got = rows(streamed, "event_id", "next_id")
+    assert got and got == rows(batch.where("next_id is not null"), "event_id", "next_id")
+
+
+def test_waiting_rows_are_dropped_in_time(spark, tmp_path, rocksdb):
+    path = str(tmp_path / "in")
+    schema = small_feed(spark, path, [
+        [(1, 1, at(0), 0.0)],
+        [(2, 1, at(1), 0.0), (3, 1, at(2), 1.0)],
+        [(4, 1, at(3), 0.0)],
+        [(5, 2, at(20), 0.0)],
+        [(6, 1, at(21), 1.0)],
+    ])
+    scan = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    marked = state.watermarked(scan, "ts", "1 hour").withColumn("follows", F.col("value") > 0)
+    found = run(state.followed_state(marked, "key", "ts", "id", "follows", ("n", "t"), 4 * 3600 * 1000), "waiting", "append", tmp_path)
+    assert rows(found, "id", "n") == [(1, 3), (2, 3)]

@@ -1,4 +1,8 @@
-"""State kept between micro-batches."""
+"""State kept between micro-batches.
+
+The two processors hold a key's rows of one micro-batch to bring them in order; the scan's
+``files_per_batch`` bounds them.
+"""
 
 from __future__ import annotations
 
@@ -55,23 +59,20 @@ class DriftProcessor(StatefulProcessor):
         _, time, order, value, target = self.columns
         held = self.sum.get()
         total = held[0] if held is not None else 0.0
-        latest = None
-        for batch in rows:
-            batch = batch.sort_values([time, order])
-            alarms, drifts = [], []
-            for i, step in enumerate((batch[value] - batch[target] - self.slack).to_numpy()):
-                before, total = total, max(0.0, total + step)
-                if round(total, 6) > self.bound >= round(before, 6):
-                    alarms.append(i)
-                    drifts.append(round(total, 6))
-            latest = batch[time].max() if latest is None else max(latest, batch[time].max())
-            if alarms:
-                yield batch.iloc[alarms].assign(drift=drifts)
+        batch = pd.concat(list(rows)).sort_values([time, order])
+        alarms, drifts = [], []
+        for i, step in enumerate((batch[value] - batch[target] - self.slack).to_numpy()):
+            before, total = total, max(0.0, total + step)
+            if round(total, 6) > self.bound >= round(before, 6):
+                alarms.append(i)
+                drifts.append(round(total, 6))
+        if alarms:
+            yield batch.iloc[alarms].assign(drift=drifts)
         self.sum.update((total,))
-        if self.idle_ms and latest is not None:
+        if self.idle_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(latest.timestamp() * 1000) + self.idle_ms)
+            self.handle.registerTimer(int(batch[time].max().timestamp() * 1000) + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.sum.clear()
@@ -103,3 +104,74 @@ def drift_state(
         outputMode="append",
         timeMode="eventTime",
     )
+
+
+class FollowProcessor(StatefulProcessor):
+    """Waiting rows per key, each given out with the first follower within ``within_ms``.
+
+    The first follower settles all waiting rows at once, so work is linear in the rows. Rows
+    of a key are taken in (time, order) within a micro-batch; a waiting row that can no
+    longer be followed is dropped by a timer once the watermark has passed.
+    """
+
+    def __init__(self, key: str, time: str, order: str, follows: str, names: tuple[str, str], within_ms: int):
+        self.columns = (key, time, order, follows)
+        self.names, self.within_ms = names, within_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "number bigint, at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        name, time, order, follows = self.columns
+        within = pd.Timedelta(milliseconds=self.within_ms)
+        waiting = [(number, pd.Timestamp(at)) for number, at in self.waiting.get()]
+        batch = pd.concat(list(rows)).sort_values([time, follows, order])
+        found = []
+        for at, number, is_follower in zip(batch[time], batch[order], batch[follows]):
+            if not is_follower:
+                waiting.append((number, at))
+                continue
+            found += [(key[0], w, t, number, at) for w, t in waiting if at - t <= within]
+            waiting = []
+        if waiting:
+            self.waiting.put([(int(number), at.to_pydatetime()) for number, at in waiting])
+            last = max(at for _, at in waiting)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(last.timestamp() * 1000) + self.within_ms)
+        else:
+            self.waiting.clear()
+        if found:
+            yield pd.DataFrame(found, columns=[name, order, time, *self.names])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.waiting.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def followed_state(
+    df: DataFrame, key: str, time: str, order: str, follows: str, names: tuple[str, str], within_ms: int
+) -> DataFrame:
+    """Streaming form of a forward ``as_of`` with ``within``: the first follower of each other row.
+
+    ``follows`` is a boolean column that marks followers; ``names`` are the output columns for
+    the follower's order and time. The input carries a watermark on ``time``. Needs ``ROCKSDB``.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    output = StructType(
+        [
+            *[StructField(n, kinds[n]) for n in (key, order, time)],
+            StructField(names[0], kinds[order]),
+            StructField(names[1], kinds[time]),
+        ]
+    )
+    return df.select(key, time, order, follows).groupBy(key).transformWithStateInPandas(
+        FollowProcessor(key, time, order, follows, names, within_ms),
+        outputStructType=output,
+        outputMode="append",
+        timeMode="eventTime",
+    )

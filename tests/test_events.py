@@ -129,6 +129,6 @@ def test_first_reports_and_enrichment(spark):
 
 def test_previous_crosses_chunks(spark):
     data = [(c, i, f"r{i % 3}") for c in (1, None) for i in range(10)]
-    got = threads.with_previous(spark.createDataFrame(data, "c int, i bigint, role string"), "c", "i", "role", chunk_size=3)
+    got = threads.with_previous(spark.createDataFrame(data, "c int, i bigint, role string"), "c", "i", "role", chunks=4)
     want = [(c, i, f"r{(i - 1) % 3}" if i else None) for c in (None, 1) for i in range(10)]
     assert rows(got, "c", "i", "previous") == want

@@ -1,14 +1,14 @@
 """Event operators. Those marked "batch or stream" take either kind of DataFrame.
 
 A streaming caller sets the watermark (see ``vigilark.streaming``) before calling. In batch
-form a user's events are cut into chunks by time, see ``vigilark.plans.chunked``.
+form a user's events are cut into chunks along time, see ``vigilark.plans.chunked``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.functions.temporal import interval
@@ -16,6 +16,7 @@ from vigilark.plans.chunked import (
     CHUNK,
     IS_ROW,
     earlier_chunks,
+    in_chunks,
     only_rows,
     with_inherited,
     within_chunk,
@@ -55,12 +56,12 @@ def windowed_counts(
     )
 
 
-def sessions(df: DataFrame, user: str, time: str, value: str, gap: str) -> DataFrame:
+def sessions(df: DataFrame, user: str, time: str, value: str, gap: str, chunks: int | None = None) -> DataFrame:
     """Sessions by inactivity gap (batch or stream); an event exactly ``gap`` later still belongs.
 
-    In batch, sessions are first built per user and day, then those that touch are merged.
-    Sessions of a user lie more than a gap apart, so what is merged per user is at most the
-    time span over the gap plus one piece per day, however many events there are.
+    In batch, sessions are first built per user and chunk of time, then those that touch are
+    merged. Sessions of a user lie more than a gap apart, so what is merged per user is at most
+    the time span over the gap plus one piece per chunk, however many events there are.
     """
     found = [F.count("*").alias("n_events"), F.sum(value).alias("total_value")]
     window = F.session_window(time, gap).alias("_session")
@@ -77,7 +78,7 @@ def sessions(df: DataFrame, user: str, time: str, value: str, gap: str) -> DataF
             )
         )
     pieces = (
-        df.withColumn(CHUNK, F.col(time).cast("date"))
+        in_chunks(df, time, chunks)
         .groupBy(user, CHUNK, window)
         .agg(*found)
         .select(user, F.col("_session.start").alias("_start"), F.col("_session.end").alias("_end"), "n_events", "total_value")
@@ -131,7 +132,7 @@ def as_of(
     columns: dict[str, str],
     forward: bool = False,
     within: str | None = None,
-    chunk: Column | None = None,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Add to each left row the nearest right row of its key at or before (or at or after) it.
 
@@ -139,7 +140,6 @@ def as_of(
     direction the least, is the nearest. ``columns`` maps right columns to their new names.
     With ``within`` a match further away than that is dropped. All left rows are kept.
     """
-    chunk = F.col(time).cast("date") if chunk is None else chunk
     right = right.where(F.col(key).isNotNull() & F.col(time).isNotNull())
     match = F.struct(F.col(time).alias("_t"), F.col(order).alias("_o"), *[F.col(c).alias(n) for c, n in columns.items()])
     sides = left.withColumn("_side", F.lit(1)).unionByName(
@@ -147,9 +147,8 @@ def as_of(
     )
     nearest_in_chunk = (F.min if forward else F.max)("_match")
     merged = with_inherited(
-        sides,
+        in_chunks(sides, time, chunks),
         [key],
-        chunk,
         {"_chunk_match": nearest_in_chunk},
         {"_match": F.last("_chunk_match", ignorenulls=True).over(earlier_chunks([key], descending=forward))},
     )
@@ -181,19 +180,16 @@ def first_reports(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def late_events(
-    df: DataFrame, arrival: str, time: str, delay: str, tie: str | None = None, chunks: int = 1024
+    df: DataFrame, arrival: str, time: str, delay: str, tie: str | None = None, chunks: int | None = None
 ) -> DataFrame:
     """Events more than ``delay`` behind the latest time seen before them in arrival order.
 
-    Arrival is an integer order over all events, cut into at most ``chunks`` even ranges, so
-    the only window without a key runs over at most that many rows. ``tie`` orders equal arrivals.
+    Arrival orders all events and is cut into chunks, so the only window without a key runs
+    over one row per chunk. ``tie`` orders equal arrivals.
     """
-    low = df.agg(F.min(arrival)).scalar()
-    width = df.agg((F.max(arrival) - F.min(arrival) + 1) / chunks).scalar()
     merged = with_inherited(
-        df.withColumn("_seen", F.col(time)),
+        in_chunks(df.withColumn("_seen", F.col(time)), arrival, chunks),
         [],
-        F.floor((F.col(arrival) - low) / width),
         {"_latest": F.max(time)},
         {"_seen": F.max("_latest").over(earlier_chunks([]))},
     )
@@ -204,7 +200,8 @@ def late_events(
 
 
 def drift_alarms(
-    df: DataFrame, key: str, time: str, order: str, value: str, target: str, slack: float, bound: float
+    df: DataFrame, key: str, time: str, order: str, value: str, target: str, slack: float, bound: float,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Events at which a key's upward cumulative sum passes ``bound``.
 
@@ -212,10 +209,9 @@ def drift_alarms(
     its least value so far, so running sums and minima give it for all events at once.
     """
     w = Window.partitionBy(key, CHUNK).orderBy(time, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The null filter is stated here so that both uses of ``rows`` share one shuffle.
+    steps = df.where(F.col(key).isNotNull()).withColumn("_step", F.col(value) - F.col(target) - F.lit(slack))
     rows = (
-        df.withColumns({CHUNK: F.col(time).cast("date"), "_step": F.col(value) - F.col(target) - F.lit(slack)})
-        .where(F.col(key).isNotNull() & F.col(CHUNK).isNotNull())
+        in_chunks(steps, time, chunks)
         .withColumn("_run", F.sum("_step").over(w))
         .withColumn("_run_low", F.min("_run").over(w))
     )

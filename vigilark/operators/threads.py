@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilark.plans.chunked import CHUNK, IS_ROW, earlier_chunks, only_rows, with_inherited
+from vigilark.plans.chunked import CHUNK, IS_ROW, earlier_chunks, in_chunks, only_rows, with_inherited
 
 
-def with_previous(df: DataFrame, key: str, order: str, value: str, chunk_size: int = 100_000) -> DataFrame:
-    """Add ``previous``: the value one step earlier in the thread; ``order`` is an integer."""
+def with_previous(df: DataFrame, key: str, order: str, value: str, chunks: int | None = None) -> DataFrame:
+    """Add ``previous``: the value one step earlier in the thread."""
     merged = with_inherited(
-        df,
+        in_chunks(df, order, chunks),
         [key],
-        F.floor(F.col(order) / chunk_size),
         {"_last": F.max_by(value, order)},
         {value: F.last("_last").over(earlier_chunks([key]))},
     )

@@ -1,10 +1,11 @@
 """Ordered work per key without putting a whole key in one task.
 
 A window partitioned by the key alone sends every row of a hot key to one task. Here a
-key's rows are cut into chunks along their order. Each chunk is summed up in one row
-(combined map-side), a window over these few rows gives what every chunk inherits from
-the earlier ones, and the inherited values enter the chunk as one extra leading row. So
-the rows are shuffled once, by key and chunk.
+key's rows are cut into chunks along their order, at bounds that split all rows evenly: a
+hot key, a hot day, or both at once still fall into many chunks. Each chunk is summed up
+in one row (combined map-side), a window over these few rows gives what every chunk
+inherits from the earlier ones, and the inherited values enter the chunk as one extra
+leading row. So the rows are shuffled once, by key and chunk.
 """
 
 from __future__ import annotations
@@ -36,20 +37,39 @@ def within_chunk(keys: Sequence[str], order: Sequence[Column]) -> WindowSpec:
     )
 
 
+def spread(df: DataFrame, chunks: int | None) -> int:
+    """How many chunks to cut: as many as the session has shuffle partitions, if not given."""
+    return chunks or min(1024, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def in_chunks(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
+    """Number the rows' chunks along a number or time; nulls fall into the first.
+
+    Bounds are approximate quantiles over all rows, so a chunk holds about rows / chunks of
+    them whatever the keys. The few bounds are written first: all uses see the same ones.
+    """
+    n = spread(df, chunks)
+    quantiles = F.percentile_approx(order, [i / n for i in range(1, n)], 4 * n).alias("bounds")
+    bounds = sized(df.agg(quantiles)).scalar()
+    # How many bounds lie below the value, by halving; each step stays in generated code.
+    found = df.withColumns({"_bounds": bounds, CHUNK: F.lit(0)})
+    step = 1 << (n.bit_length() - 1)
+    while step:
+        above = F.get("_bounds", F.col(CHUNK) + step - 1) < F.col(order)
+        found = found.withColumn(CHUNK, F.col(CHUNK) + F.when(above, step).otherwise(0))
+        step //= 2
+    return found.drop("_bounds")
+
+
 def with_inherited(
-    df: DataFrame,
-    keys: Sequence[str],
-    chunk: Column,
-    totals: dict[str, Column],
-    inherited: dict[str, Column],
+    rows: DataFrame, keys: Sequence[str], totals: dict[str, Column], inherited: dict[str, Column]
 ) -> DataFrame:
-    """Rows of ``df`` plus one leading row per key and chunk with the ``inherited`` values.
+    """Rows from ``in_chunks`` plus one leading row per key and chunk with the ``inherited`` values.
 
     ``totals`` are aggregates of one chunk; ``inherited`` are expressions over
     ``earlier_chunks(keys)`` that read them. On ordinary rows the inherited columns are null.
     The caller computes over ``within_chunk`` and then keeps ``only_rows``.
     """
-    rows = df.withColumn(CHUNK, chunk)
     summary = rows.groupBy(*keys, CHUNK).agg(*[c.alias(n) for n, c in totals.items()])
     leading = summary.select(*keys, CHUNK, *[c.alias(n) for n, c in inherited.items()])
     return rows.withColumn(IS_ROW, F.lit(1)).unionByName(
@@ -61,38 +81,13 @@ def only_rows(df: DataFrame, *drop: str) -> DataFrame:
     return df.where(F.col(IS_ROW) == 1).drop(IS_ROW, CHUNK, *drop)
 
 
-def spread(df: DataFrame, chunks: int | None) -> int:
-    """How many chunks to cut: as many as the session has shuffle partitions, if not given."""
-    return chunks or min(1024, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def placed(df: DataFrame, groups: Sequence[str], value: str, chunks: int | None = None) -> DataFrame:
-    """``groups`` and ``value`` of the rows with a value, and the chunk of it in the order of values.
-
-    Chunk bounds are approximate quantiles over all rows, one small array whatever the
-    groups. So a chunk holds about rows / chunks values of any one group, also of a hot one.
-    """
-    n = spread(df, chunks)
-    present = df.where(F.col(value).isNotNull()).select(*groups, value)
-    fractions = [i / n for i in range(1, n)]
-    bounds = present.agg(F.percentile_approx(value, fractions, 4 * n)).scalar()
-    # How many bounds lie below the value, by halving; each step stays in generated code.
-    found = present.withColumns({"_bounds": bounds, CHUNK: F.lit(0)})
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        above = F.get("_bounds", F.col(CHUNK) + step - 1) < F.col(value)
-        found = found.withColumn(CHUNK, F.col(CHUNK) + F.when(above, step).otherwise(0))
-        step //= 2
-    return found.drop("_bounds")
-
-
 def value_ranks(df: DataFrame, groups: Sequence[str], value: str, chunks: int | None = None) -> DataFrame:
     """One row per group and distinct value: how many rows equal it and lie below it.
 
     Also, on every row, the count, least, greatest, mean and sample deviation of the group.
     """
     keys = list(groups)
-    rows = placed(df, keys, value, chunks)
+    rows = in_chunks(df.where(F.col(value).isNotNull()).select(*keys, value), value, chunks)
     group = Window.partitionBy(*keys)
     parts = (
         rows.groupBy(*keys, CHUNK)
@@ -142,7 +137,7 @@ def ranks_around(
     ``low`` and ``high`` (from 0) on either side of it.
     """
     keys = list(groups)
-    rows = placed(df, keys, value, chunks)
+    rows = in_chunks(df.where(F.col(value).isNotNull()).select(*keys, value), value, chunks)
     totals = rows.groupBy(*keys, CHUNK).agg(F.count("*").alias("_rows"))
     located = totals.select(
         *keys,

@@ -9,6 +9,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def exact(value: Column, scale: int = 2) -> Column:
+    """A double that holds a decimal number, as that decimal: its sums do not depend on their order."""
+    return value.cast(f"decimal(18,{scale})")
+
+
 def min_max(value: Column, low: Column, high: Column) -> Column:
     return ratio(value - low, high - low)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilark.functions.numeric import exact
 from vigilark.operators import entities as ops
 from vigilark.operators import links, profiles, rules
 from vigilark.registry import query
@@ -28,7 +29,7 @@ def _suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 def _spend(spark: SparkSession, d: str) -> DataFrame:
     return ops.entity_totals(
-        table(spark, d, "lineitem"), "l_suppkey", {"spend": F.col("l_extendedprice"), "n_lines": _one()}
+        table(spark, d, "lineitem"), "l_suppkey", {"spend": exact(F.col("l_extendedprice")), "n_lines": _one()}
     )
 
 
@@ -36,6 +37,10 @@ def _supplier_spend(spark: SparkSession, d: str) -> DataFrame:
     return _spend(spark, d).join(_suppliers(spark, d), F.col("l_suppkey") == F.col("s_suppkey"))
 
 
+def _as_double(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("double"))
+
+
 def _in_period(facts: DataFrame, start: str, end: str) -> DataFrame:
     ship = F.col("l_shipdate")
     return facts.where((ship >= F.lit(start).cast("timestamp_ntz")) & (ship < F.lit(end).cast("timestamp_ntz")))
@@ -192,7 +197,7 @@ def composite_score(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """
     SELECT r_name, n_name, CAST(grouping(r_name, n_name) AS BIGINT) AS level_id,
-           round(sum(l_extendedprice), 2) AS spend, CAST(count(*) AS BIGINT) AS n_lines
+           CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS spend, CAST(count(*) AS BIGINT) AS n_lines
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
     JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
     GROUP BY ROLLUP (r_name, n_name)
@@ -201,18 +206,18 @@ def composite_score(spark: SparkSession, d: str) -> DataFrame:
 def hierarchy_rollup(spark: SparkSession, d: str) -> DataFrame:
     """P07."""
     rolled = ops.hierarchy_rollup(_supplier_spend(spark, d), ["r_name", "n_name"], ["spend", "n_lines"])
-    return rolled.withColumn("spend", F.round("spend", 2))
+    return _as_double(rolled, "spend")
 
 
 def _measures() -> dict[str, Column]:
-    revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    revenue = exact(F.col("l_extendedprice")) * (1 - exact(F.col("l_discount")))
     return {"quantity": F.col("l_quantity"), "revenue": revenue, "n_lines": _one()}
 
 
 @query(
     """
     SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level_id,
-           sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue,
+           sum(l_quantity) AS quantity, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS revenue,
            CAST(count(*) AS BIGINT) AS n_lines
     FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)
     """
@@ -220,13 +225,13 @@ def _measures() -> dict[str, Column]:
 def cross_cube(spark: SparkSession, d: str) -> DataFrame:
     """P08."""
     cube = ops.cross_cube(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], _measures())
-    return cube.withColumn("revenue", F.round("revenue", 4))
+    return _as_double(cube, "revenue")
 
 
 @query(
     """
     SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level_id,
-           sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue,
+           sum(l_quantity) AS quantity, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS revenue,
            CAST(count(*) AS BIGINT) AS n_lines
     FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))
     """
@@ -239,7 +244,7 @@ def chosen_sets(spark: SparkSession, d: str) -> DataFrame:
         ["l_returnflag", "l_linestatus"],
         _measures(),
     )
-    return sets.withColumn("revenue", F.round("revenue", 4))
+    return _as_double(sets, "revenue")
 
 
 @query(
@@ -285,7 +290,8 @@ def weighted_exposure(spark: SparkSession, d: str) -> DataFrame:
 )
 def concentration(spark: SparkSession, d: str) -> DataFrame:
     """P10."""
-    return ops.concentration(_supplier_spend(spark, d), ["r_name"], "s_suppkey", "spend").withColumn(
+    spend = _as_double(_supplier_spend(spark, d), "spend")
+    return ops.concentration(spend, ["r_name"], "s_suppkey", "spend").withColumn(
         "herfindahl", F.round("herfindahl", 8)
     )
 
@@ -293,7 +299,7 @@ def concentration(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """
     WITH s AS (
-        SELECT n_name, s_suppkey, round(sum(l_extendedprice), 2) AS spend
+        SELECT n_name, s_suppkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS spend
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
         GROUP BY n_name, s_suppkey
     ), r AS (
@@ -304,7 +310,7 @@ def concentration(spark: SparkSession, d: str) -> DataFrame:
 )
 def top_k_per_group(spark: SparkSession, d: str) -> DataFrame:
     """The two largest suppliers per nation."""
-    spend = _supplier_spend(spark, d).select("n_name", "s_suppkey", F.round("spend", 2).alias("spend"))
+    spend = _as_double(_supplier_spend(spark, d), "spend").select("n_name", "s_suppkey", "spend")
     return ops.top_k_per_group(spend, ["n_name"], [F.col("spend").desc(), F.col("s_suppkey")], 2)
 
 

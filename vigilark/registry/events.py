@@ -219,24 +219,29 @@ def late_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    WITH m AS (
-        SELECT user_id, round(avg(value), 4) AS target FROM events GROUP BY user_id
+    WITH c AS (
+        SELECT event_id, user_id, ts, CAST(round(value * 100) AS BIGINT) AS cents FROM events
+    ), m AS (
+        SELECT user_id, CAST(sum(cents) // count(*) AS BIGINT) AS target FROM c GROUP BY user_id
     ), r AS (
-        SELECT event_id, user_id, ts, value - target - 10 AS step,
-               sum(value - target - 10) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run
-        FROM events JOIN m USING (user_id)
+        SELECT event_id, user_id, ts, cents - target - 1000 AS step,
+               sum(cents - target - 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run
+        FROM c JOIN m USING (user_id)
     ), s AS (
-        SELECT *, round(run - least(0, min(run) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 6) AS drift FROM r
+        SELECT *, run - least(0, min(run) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS drift FROM r
     )
-    SELECT event_id, user_id, ts, round(drift, 4) AS drift FROM s WHERE drift > 300 AND round(drift - step, 6) <= 300
+    SELECT event_id, user_id, ts, CAST(drift AS DOUBLE) AS drift FROM s WHERE drift > 30000 AND drift - step <= 30000
     """
 )
 def drift_alarms(spark: SparkSession, d: str) -> DataFrame:
-    """P42, batch form: drift of a user's values above the user's own mean."""
-    events = _events(spark, d).select("event_id", "user_id", "ts", "value")
-    means = events.groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("target"))
-    alarms = ops.drift_alarms(ops.enrich(events, means, "user_id"), "user_id", "ts", "event_id", "value", "target", 10.0, 300.0)
-    return alarms.select("event_id", "user_id", "ts", F.round("drift", 4).alias("drift"))
+    """P42, batch form: drift of a user's values, in cents, above the user's own mean."""
+    cents = _events(spark, d).select(
+        "event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents")
+    )
+    means = cents.groupBy("user_id").agg(F.expr("sum(cents) div count(*)").alias("target"))
+    events = ops.enrich(cents, means, "user_id")
+    alarms = ops.drift_alarms(events, "user_id", "ts", "event_id", "cents", "target", 1000.0, 30000.0)
+    return alarms.select("event_id", "user_id", "ts", "drift")
 
 
 @query(

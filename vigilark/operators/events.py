@@ -18,6 +18,7 @@ from vigilark.plans.chunked import (
     earlier_chunks,
     in_chunks,
     only_rows,
+    spread,
     with_inherited,
     within_chunk,
 )
@@ -185,10 +186,11 @@ def late_events(
     """Events more than ``delay`` behind the latest time seen before them in arrival order.
 
     Arrival orders all events and is cut into chunks, so the only window without a key runs
-    over one row per chunk. ``tie`` orders equal arrivals.
+    over one row per chunk. There are a few chunks per shuffle partition, as whole chunks fall
+    into partitions by chance. ``tie`` orders equal arrivals.
     """
     merged = with_inherited(
-        in_chunks(df.withColumn("_seen", F.col(time)), arrival, chunks),
+        in_chunks(df.withColumn("_seen", F.col(time)), arrival, chunks or 4 * spread(df, None)),
         [],
         {"_latest": F.max(time)},
         {"_seen": F.max("_latest").over(earlier_chunks([]))},

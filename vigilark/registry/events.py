@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilark.functions import hooks
 from vigilark.operators import events as ops
+from vigilark.plans.rounds import sized
 from vigilark.registry import query
 from vigilark.sources.tables import table
 
@@ -239,7 +240,7 @@ def drift_alarms(spark: SparkSession, d: str) -> DataFrame:
         "event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents")
     )
     means = cents.groupBy("user_id").agg(F.expr("sum(cents) div count(*)").alias("target"))
-    events = ops.enrich(cents, means, "user_id")
+    events = ops.enrich(cents, sized(means), "user_id")
     alarms = ops.drift_alarms(events, "user_id", "ts", "event_id", "cents", "target", 1000.0, 30000.0)
     return alarms.select("event_id", "user_id", "ts", "drift")
 

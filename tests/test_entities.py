@@ -11,7 +11,6 @@ from conftest import rows
 from vigilark.operators import entities as ops
 from vigilark.operators import profiles, rules
 from vigilark.plans.chunked import value_ranks
-from vigilark.plans.keyed import broadcast_if_small
 
 
 def skewed(seed, n=600):
@@ -144,9 +143,3 @@ def test_sketches_merge(spark):
 def test_column_profile_counts_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "b"), (None, "a")], "x int, y string")
     assert rows(profiles.column_profile(df, ["x", "y"])) == [("x", 3, 1, "1", "2"), ("y", 3, 1, "a", "b")]
-
-
-def test_broadcast_only_after_the_size_check(spark):
-    df = spark.range(100)
-    hinted = lambda d: "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
-    assert hinted(broadcast_if_small(df, 100)) and not hinted(broadcast_if_small(df, 99))

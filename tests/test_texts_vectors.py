@@ -10,11 +10,15 @@ from vigilark.functions.vectors import cosine
 from vigilark.operators import texts, vectors
 
 
-def test_dictionary_tags_match_whole_words_of_whole_texts(spark):
+@pytest.mark.parametrize("bound", [3, 2])
+def test_dictionary_tags_match_whole_words_of_whole_texts(spark, bound):
+    """With the bound below the dictionary's three rows the words are counted first."""
     long = "filler " * 50_000 + "Dürre"
     docs = spark.createDataFrame([(1, "Flood, flood; FLOODS!"), (2, long), (3, ""), (4, None)], "id int, text string")
     words = spark.createDataFrame([("flood", "water", 1.5), ("dürre", "water", 2.0), ("flood", "risk", 1.0)], "term string, tag string, weight double")
-    assert rows(texts.dictionary_tags(docs, "id", "text", words), "id", "tag", "n_hits", "score") == [
+    got = texts.dictionary_tags(docs, "id", "text", words, bound)
+    assert ("broadcast" in got._jdf.queryExecution().analyzed().toString()) == (bound == 3)
+    assert rows(got, "id", "tag", "n_hits", "score") == [
         (1, "risk", 2, 2.0), (1, "water", 2, 3.0), (2, "water", 1, 2.0)
     ]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.text import words
 from vigilark.operators.entities import top_k_per_group
-from vigilark.plans.keyed import broadcast_if_small, use_all_cores
+from vigilark.plans.keyed import is_small, use_all_cores
 
 
 def exploded_words(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,16 +24,20 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def dictionary_tags(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+def dictionary_tags(
+    df: DataFrame, key: str, text: str, dictionary: DataFrame, max_broadcast_rows: int = 200_000
+) -> DataFrame:
     """Hits and weighted score per row and tag, for a dictionary of (term, tag, weight).
 
-    A dictionary that is counted to be small is broadcast, and then only hits are shuffled.
+    A dictionary counted to be small is broadcast, and then only hits are shuffled. For a
+    larger one words are counted per row first, so that a frequent word travels once per row.
     """
-    return (
-        exploded_words(df, key, text)
-        .join(broadcast_if_small(dictionary), "term")
-        .groupBy(key, "tag")
-        .agg(F.count("*").alias("n_hits"), F.sum("weight").alias("score"))
+    if is_small(dictionary, max_broadcast_rows):
+        hits = exploded_words(df, key, text).withColumn("n", F.lit(1)).join(F.broadcast(dictionary), "term")
+    else:
+        hits = term_counts(df, key, text).join(dictionary, "term")
+    return hits.groupBy(key, "tag").agg(
+        F.sum("n").alias("n_hits"), F.sum(F.col("n") * F.col("weight")).alias("score")
     )
 
 

@@ -7,7 +7,6 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -24,12 +23,9 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Ask for a broadcast of a narrow table after counting that it has at most ``max_rows``.
-
-    The count stops there. A larger table is left to Spark, which then merges sorted sides.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def is_small(df: DataFrame, max_rows: int = 200_000) -> bool:
+    """Whether a narrow table has at most ``max_rows``, and so may be broadcast. The count stops there."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def use_all_cores(df: DataFrame, key: str) -> DataFrame:

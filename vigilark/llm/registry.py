@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigilark.llm import apportion, jaccard_join, line_rules
 from vigilark.sources.tables import table
 
 QUERIES: dict = {}
@@ -22,6 +23,14 @@ def query(sql: str | None = None):
 
 @query()
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vigilark.llm.jaccard_join import jaccard_join
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
-    return jaccard_join(table(spark, sf_dir, "documents"))
+
+@query(line_rules.SQL)
+def op1_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+@query()
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apportion.mix(table(spark, sf_dir, "documents")).drop("spans")

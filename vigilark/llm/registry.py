@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigilark.llm import apportion, jaccard_join, line_rules
+from vigilark.llm import apportion, jaccard_join, line_rules, packing, separators
 from vigilark.sources.tables import table
 
 QUERIES: dict = {}
@@ -34,3 +35,14 @@ def op1_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.mix(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query()
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.withColumns({"ids_hash": F.xxhash64("input_ids"), "positions_hash": F.xxhash64("position_ids")}).drop("input_ids", "position_ids")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import apportion, jaccard_join, line_rules, packing, separators
+import corpus_pipeline
+from vigilark.llm import apportion, jaccard_join, line_rules, packing, separators, templates
 from vigilark.sources.tables import table
 
 QUERIES: dict = {}
@@ -46,3 +47,14 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"))
     return packed.withColumns({"ids_hash": F.xxhash64("input_ids"), "positions_hash": F.xxhash64("position_ids")}).drop("input_ids", "position_ids")
+
+
+@query()
+def op9_template_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.schema("item_id bigint, text string").parquet(f"{sf_dir}/benchmark.parquet")
+    return templates.template_matches(table(spark, sf_dir, "documents"), benchmark)
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

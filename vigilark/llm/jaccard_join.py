@@ -313,7 +313,8 @@ def jaccard_join(
     )
     sizes = sized(blobs.groupBy("blob").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("blocks")))
     wanted = blobs.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("set_id").alias("wanted"))
-    texts = rows.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+    # Merged at every size: broadcasting the few wanted rows of a small input would only hide what a large one moves.
+    texts = rows.join(wanted.hint("merge"), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
     shingles = (
         texts.select("text", "wanted")
         .mapInArrow(_whole_sets(shingle), "set_id long, shingles binary")
@@ -348,10 +349,10 @@ def jaccard_join(
     least = sized(known.groupBy("group").agg(F.min("doc").alias("class_id")))
     known = sized(
         known.join(least, "group").select(
-            F.col("set_id").alias("_set"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_id"
+            F.col("set_id").alias("_set"), F.col("group").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_id"
         )
     )
-    joined = described.select("doc", "set_id", "n_shingles").join(known, (F.col("set_id") == F.col("_set")) & (F.col("n_shingles") > 0), "left")
+    joined = described.select("doc", "text_hash", "set_id", "n_shingles").join(known, (F.col("set_id") == F.col("_set")) & (F.col("n_shingles") > 0), "left")
     none = F.col("n_shingles") == 0
     return joined.select(
         F.col("doc").alias(key),
@@ -359,4 +360,6 @@ def jaccard_join(
         F.col("n_shingles").cast("long").alias("n_shingles"),
         F.when(none, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         F.when(none, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
+        "group_id",
+        "text_hash",
     )

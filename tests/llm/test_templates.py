@@ -17,7 +17,7 @@ def test_planted_passages(spark):
     mixed = ITEM.replace("Anna waits", "Carla waits").replace("40", "75").replace("12", "40").replace("Bob", "Anna").replace("Anna owes", "Eve owes")
     got = run(
         spark,
-        [(1, f"{fill} {ITEM} {fill}", "", ""), (2, f"{fill} {other}", "", ""), (3, fill, "", ""), (4, None, "", ""), (5, "", "", ""), (None, ITEM, "", ""), (7, ITEM[:60], "", ""), (8, ITEM.upper(), "", ""), (9, ITEM, "", ""), (9, ITEM, "", "")],
+        [(1, f"{fill}. {ITEM} {fill}", "", ""), (2, f"{fill} {other}", "", ""), (3, fill, "", ""), (4, None, "", ""), (5, "", "", ""), (None, ITEM, "", ""), (7, ITEM[:60], "", ""), (8, ITEM.upper(), "", ""), (9, ITEM, "", ""), (9, ITEM, "", "")],
     )
     assert set(got) == {(1, 1), (2, 1), (None, 1), (9, 1)}
     assert got[1, 1]["exact"] and got[1, 1]["coverage"] == 1.0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigilark.llm import apportion, jaccard_join, line_rules, packing, separators, templates
+from vigilark.llm import apportion, bytes_model, jaccard_join, line_rules, packing, separators, templates
 from vigilark.sources.tables import table
 
 QUERIES: dict = {}
@@ -58,3 +58,13 @@ def op9_template_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+def _fold(key: str, parts: int):
+    """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
+    return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % parts
+
+
+@query()
+def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytes_model.ppm_scores(table(spark, sf_dir, "documents"), _fold("doc_id", 5) == 1)

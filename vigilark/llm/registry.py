@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigilark.llm import apportion, bytes_model, jaccard_join, line_rules, packing, separators, templates
+from vigilark.llm import additive, apportion, bytes_model, cross_parsing, html_blocks, jaccard_join, line_rules, packing, separators, templates
 from vigilark.sources.tables import table
 
 QUERIES: dict = {}
@@ -68,3 +68,19 @@ def _fold(key: str, parts: int):
 @query()
 def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytes_model.ppm_scores(table(spark, sf_dir, "documents"), _fold("doc_id", 5) == 1)
+
+
+@query()
+def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_parsing.languages(table(spark, sf_dir, "documents"), _fold("doc_id", 4) == 2)
+
+
+@query()
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op7_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.schema("doc_id bigint, quality int, toxic int").parquet(f"{sf_dir}/labels.parquet")
+    return additive.quality_scores(table(spark, sf_dir, "documents"), labels, _fold("doc_id", 4) == 2)

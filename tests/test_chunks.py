@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from vigilark.plans.chunked import CHUNK, in_chunks
-from vigilark.plans.keyed import join_null_safe, use_all_cores
+from vigilark.plans.keyed import join_null_safe
 
 
 def largest_share(df, *columns):
@@ -42,7 +42,16 @@ def test_null_keys_join(spark):
         join_null_safe(left, right, [])
 
 
-def test_only_few_splits_are_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    one, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 2 * cores)
-    assert use_all_cores(one, "id").rdd.getNumPartitions() == cores and use_all_cores(many, "id") is many
+def test_chunks_follow_the_partitions_beyond_a_thousand(spark):
+    df = spark.range(0, 200_000, 1, 16).select(F.col("id").cast("double").alias("v"))
+    cut = in_chunks(df, "v", 2000)
+    assert cut.select(CHUNK).distinct().count() > 1900 and largest_share(cut, CHUNK) <= 3 / 2000
+
+
+def test_bounds_of_sorted_and_repeated_values(spark):
+    """Splits of a sorted input cover parts of the range only; half of the rows have one value."""
+    df = spark.range(0, 20_000, 1, 16).select(F.greatest(F.col("id") - 10_000, F.lit(0)).alias("v"))
+    cut = in_chunks(df, "v", 10)
+    assert largest_share(cut.where("v > 0"), CHUNK) <= 0.3
+    bounds = [tuple(r) for r in cut.groupBy(CHUNK).agg(F.min("v"), F.max("v")).orderBy(CHUNK).collect()]
+    assert all(a[2] < b[1] for a, b in zip(bounds, bounds[1:]))

@@ -132,3 +132,23 @@ def test_previous_crosses_chunks(spark):
     got = threads.with_previous(spark.createDataFrame(data, "c int, i bigint, role string"), "c", "i", "role", chunks=4)
     want = [(c, i, f"r{(i - 1) % 3}" if i else None) for c in (None, 1) for i in range(10)]
     assert rows(got, "c", "i", "previous") == want
+
+
+def test_alerts_on_any_numeric_column(spark):
+    windows = spark.createDataFrame([("a", 0, 1, 2, 3.0, 99)], "g string, window_start int, window_end int, n_events int, total_value double, third int")
+    rules = spark.createDataFrame([("r", "a", "third", 1.0), ("s", "a", "n_events", 5.0)], "rule_id string, g string, metric string, bound double")
+    found = ops.threshold_alerts(windows, rules, "g", ["n_events", "total_value", "third"])
+    assert rows(found, "rule_id", "measured") == [("r", 99.0)]
+    with pytest.raises(ValueError, match="fourth"):
+        ops.threshold_alerts(windows, rules.withColumn("metric", F.lit("fourth")), "g")
+
+
+def test_a_null_time_is_not_the_first_report(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 7, 3), ("b", None, 4)], "k string, t int, id int")
+    assert rows(ops.first_reports(df, ["k"], ["t", "id"]), "k", "t", "id") == [("a", 5, 2), ("b", None, 4)]
+
+
+def test_text_after_the_json_is_malformed(spark):
+    df = spark.createDataFrame([('{"k":1} xyz',), ('{"k":1}',), ('{"k":"x"}',), ("{bad",), ("",), (None,)], "p string")
+    got = {r["p"]: r["malformed"] for r in ops.parse_props(df, "p", {"k": "bigint"}).collect()}
+    assert got == {'{"k":1} xyz': True, '{"k":1}': False, '{"k":"x"}': True, "{bad": True, "": True, None: False}

@@ -10,14 +10,12 @@ from vigilark.functions.vectors import cosine
 from vigilark.operators import texts, vectors
 
 
-@pytest.mark.parametrize("bound", [3, 2])
-def test_dictionary_tags_match_whole_words_of_whole_texts(spark, bound):
-    """With the bound below the dictionary's three rows the words are counted first."""
+def test_dictionary_tags_match_whole_words_of_whole_texts(spark):
     long = "filler " * 50_000 + "Dürre"
     docs = spark.createDataFrame([(1, "Flood, flood; FLOODS!"), (2, long), (3, ""), (4, None)], "id int, text string")
     words = spark.createDataFrame([("flood", "water", 1.5), ("dürre", "water", 2.0), ("flood", "risk", 1.0)], "term string, tag string, weight double")
-    got = texts.dictionary_tags(docs, "id", "text", words, bound)
-    assert ("broadcast" in got._jdf.queryExecution().analyzed().toString()) == (bound == 3)
+    got = texts.dictionary_tags(docs, "id", "text", words)
+    assert "broadcast" not in got._jdf.queryExecution().analyzed().toString()
     assert rows(got, "id", "tag", "n_hits", "score") == [
         (1, "risk", 2, 2.0), (1, "water", 2, 3.0), (2, "water", 1, 2.0)
     ]
@@ -44,3 +42,10 @@ def test_vectors(spark):
     assert rows(vectors.group_centroids(df, ["g"], "v", 2), "g", "n_members", "centroid") == [("g", 3, [1.0, 1.0]), ("z", 1, [0.0, 0.0])]
     assert rows(vectors.central_members(df, "id", ["g"], "v", 2, 2).where("g = 'g'"), "position", "id") == [(1, 3), (2, 1)]
     assert rows(vectors.centroid_outliers(df, "id", ["g"], "v", 2, 0.2), "id") == [(1,), (2,)]
+
+
+def test_a_vector_of_another_length_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a", [1.0, 2.0, 3.0]), (2, "a", [1.0, 2.0, 4.0])], "id int, g string, v array<float>")
+    assert vectors.similarity_to_centroid(df, "id", ["g"], "v", 3).count() == 2
+    with pytest.raises(Exception, match="has 3 values, not 2"):
+        vectors.group_centroids(df, ["g"], "v", 2).collect()

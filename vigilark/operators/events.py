@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from vigilark.functions.temporal import interval
 from vigilark.plans.chunked import (
@@ -28,14 +29,16 @@ def parse_props(df: DataFrame, props: str, fields: dict[str, str]) -> DataFrame:
     """Typed columns from a JSON text column (batch or stream).
 
     A field that is absent or not of its type is null. ``malformed`` marks text that is
-    present but is not JSON, or holds a value of the wrong type.
+    present but is not JSON, has other text after its closing bracket, or holds a value of the wrong type.
     """
     raw = {name: F.get_json_object(props, f"$.{name}") for name in fields}
     typed = {name: raw[name].try_cast(kind) for name, kind in fields.items()}
     wrong = F.lit(False)
     for name in fields:
         wrong = wrong | (raw[name].isNotNull() & typed[name].isNull())
-    not_json = F.col(props).isNotNull() & F.get_json_object(props, "$").isNull()
+    text = F.trim(F.col(props))
+    cut = (text.startswith("{") & ~text.endswith("}")) | (text.startswith("[") & ~text.endswith("]"))
+    not_json = F.col(props).isNotNull() & (F.try_parse_json(F.col(props)).isNull() | cut)
     return df.withColumns({**typed, "malformed": not_json | wrong})
 
 
@@ -95,12 +98,19 @@ def sessions(df: DataFrame, user: str, time: str, value: str, gap: str, chunks:
     ).drop("_number")
 
 
-def threshold_alerts(windows: DataFrame, rules: DataFrame, group: str) -> DataFrame:
+def threshold_alerts(
+    windows: DataFrame, rules: DataFrame, group: str, metrics: Sequence[str] | None = None
+) -> DataFrame:
     """Windows whose metric exceeds a rule's bound (batch or stream).
 
-    ``rules`` holds (rule_id, group, metric, bound), where metric names a column of ``windows``.
+    ``rules`` holds (rule_id, group, metric, bound), where metric is one of ``metrics``: all numeric
+    columns of ``windows`` other than the group, if not given. Another metric is an error, as its alerts would be missed.
     """
-    metrics = ["n_events", "total_value"]
+    if metrics is None:
+        metrics = [f.name for f in windows.schema if isinstance(f.dataType, NumericType) and f.name != group]
+    unknown = rules.where(~F.coalesce(F.col("metric").isin(list(metrics)), F.lit(False))).select("metric").first()
+    if unknown is not None:
+        raise ValueError(f"rule on the unknown metric {unknown[0]!r}; the windows have {list(metrics)}")
     measured = windows.select(
         "window_start",
         "window_end",
@@ -174,10 +184,11 @@ def enrich(df: DataFrame, users: DataFrame, key: str) -> DataFrame:
 
 
 def first_reports(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row per key in the given order, combined map-side."""
+    """The first row per key in the given order, combined map-side; nulls of any column come last."""
     rest = [c for c in df.columns if c not in keys]
     ranked = [*order, *[c for c in rest if c not in order]]
-    return df.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("_row")).select(*keys, *[f"_row.{c}" for c in rest])
+    places = [x for c in ranked for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))]
+    return df.groupBy(*keys).agg(F.min(F.struct(*places)).alias("_row")).select(*keys, *[f"_row.{c}" for c in rest])
 
 
 def late_events(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilark.plans.rounds import Rounds
+from vigilark.plans.rounds import Rounds, sized
 
 
 def linked_groups(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -14,8 +14,8 @@ def linked_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     Alternates two steps, published as large-star and small-star by Kiveris et al. (2014):
     neighbours above an entity, then those below it, are tied to the least of them. The
     number of links does not grow, and the number of rounds is about logarithmic. A much
-    linked entity only takes part in a minimum, combined map-side, and in a join with one
-    row on the other side, which Spark splits when it is skewed.
+    linked entity only takes part in a minimum, combined map-side, and in a join with the
+    written minima: both sides are then plain shuffles, which Spark splits when one is skewed.
     """
     rounds = Rounds(links.sparkSession)
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
@@ -35,12 +35,12 @@ def _downward(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
+    least = sized(both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m")))
     return _downward(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = sized(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _downward(moved.unionByName(least.withColumnRenamed("m", "v")))
 

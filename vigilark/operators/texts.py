@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.text import words
 from vigilark.operators.entities import top_k_per_group
-from vigilark.plans.keyed import is_small, use_all_cores
+from vigilark.plans.rounds import sized
 
 
 def exploded_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    rows = use_all_cores(df.select(key, text), key)
+    rows = df.select(key, text)
     return rows.select(key, F.explode(words(F.col(text))).alias("term")).where("term <> ''")
 
 
@@ -24,18 +24,12 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def dictionary_tags(
-    df: DataFrame, key: str, text: str, dictionary: DataFrame, max_broadcast_rows: int = 200_000
-) -> DataFrame:
+def dictionary_tags(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """Hits and weighted score per row and tag, for a dictionary of (term, tag, weight).
 
-    A dictionary counted to be small is broadcast, and then only hits are shuffled. For a
-    larger one words are counted per row first, so that a frequent word travels once per row.
+    Words are counted per row first, so a frequent word travels once per row at most; how the dictionary is joined is Spark's choice.
     """
-    if is_small(dictionary, max_broadcast_rows):
-        hits = exploded_words(df, key, text).withColumn("n", F.lit(1)).join(F.broadcast(dictionary), "term")
-    else:
-        hits = term_counts(df, key, text).join(dictionary, "term")
+    hits = term_counts(df, key, text).join(dictionary, "term")
     return hits.groupBy(key, "tag").agg(
         F.sum("n").alias("n_hits"), F.sum(F.col("n") * F.col("weight")).alias("score")
     )
@@ -44,8 +38,8 @@ def dictionary_tags(
 def tf_idf_terms(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """The ``k`` terms with the highest tf × ln((N + 1) / (df + 1)) per row."""
     tf = term_counts(df, key, text)
-    # Counting by ``n`` keeps both uses of ``tf`` alike, so that Spark shuffles it only once.
-    frequency = tf.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
+    # Written, so that Spark knows its size and, if it is large, joins two plain shuffles, whose hot terms it splits.
+    frequency = sized(tf.groupBy("term").agg(F.count("*").alias("df")))
     n_texts = df.agg(F.count("*")).scalar()
     scored = tf.join(frequency, "term").select(
         key,

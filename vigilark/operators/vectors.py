@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.functions.vectors import cosine
@@ -14,9 +14,16 @@ from vigilark.plans.keyed import join_null_safe
 from vigilark.plans.rounds import sized
 
 
+def _of_length(vector: str, length: int) -> Column:
+    """The vector; one of another length is an error rather than cut."""
+    fits = F.col(vector).isNull() | (F.size(vector) == length)
+    wrong = F.raise_error(F.format_string(f"a vector of {vector} has %d values, not {length}", F.size(vector)))
+    return F.when(fits, F.col(vector)).otherwise(wrong)
+
+
 def group_centroids(df: DataFrame, groups: Sequence[str], vector: str, length: int) -> DataFrame:
-    """Mean vector per group, as one aggregate per position: no row is multiplied."""
-    at = lambda i: F.avg(F.get(vector, F.lit(i)).cast("double"))
+    """Mean vector per group, as one aggregate per position: no row is multiplied. Null vectors are left out of the means."""
+    at = lambda i: F.avg(F.get(_of_length(vector, length), F.lit(i)).cast("double"))
     return df.groupBy(*groups).agg(
         F.count("*").alias("n_members"), F.array(*[at(i) for i in range(length)]).alias("centroid")
     )

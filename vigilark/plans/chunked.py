@@ -39,18 +39,40 @@ def within_chunk(keys: Sequence[str], order: Sequence[Column]) -> WindowSpec:
 
 def spread(df: DataFrame, chunks: int | None) -> int:
     """How many chunks to cut: as many as the session has shuffle partitions, if not given."""
-    return chunks or min(1024, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return chunks or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def chunk_bounds(df: DataFrame, order: str, n: int, points: int = 256) -> DataFrame:
+    """One row with ``bounds``: at most ``n`` - 1 values that part the rows about evenly.
+
+    The splits are dealt to ``n`` groups, whose quantile sketches are merged by as many tasks, not all by
+    one. Each group gives ``points`` quantiles that stand for its rows; these few rows, whose number
+    follows the chunks and not the data, are cumulated into the bounds.
+    """
+    at = [(i + 0.5) / points for i in range(points)]
+    groups = (
+        df.where(F.col(order).isNotNull())
+        .select(F.col(order).alias("v"), F.pmod(F.spark_partition_id(), F.lit(n)).alias("g"))
+        .groupBy("g")
+        .agg(F.percentile_approx("v", at, 10 * points).alias("q"), F.count("*").alias("c"))
+    )
+    weights = groups.select(F.explode("q").alias("v"), (F.col("c") / points).alias("w")).groupBy("v").agg(F.sum("w").alias("w"))
+    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.floor(n * F.sum("w").over(upto) / F.sum("w").over(whole) + 1e-9)
+    firsts = weights.select("v", place.alias("k")).where(F.col("k").between(1, n - 1)).groupBy("k").agg(F.min("v").alias("v"))
+    return firsts.agg(F.array_sort(F.collect_set("v")).alias("bounds"))
 
 
 def in_chunks(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
     """Number the rows' chunks along a number or time; nulls fall into the first.
 
     Bounds are approximate quantiles over all rows, so a chunk holds about rows / chunks of
-    them whatever the keys. The few bounds are written first: all uses see the same ones.
+    them whatever the keys. The few bounds are written first: all uses see the same ones, and
+    the rows are read once for them and once for the work itself.
     """
     n = spread(df, chunks)
-    quantiles = F.percentile_approx(order, [i / n for i in range(1, n)], 4 * n).alias("bounds")
-    bounds = sized(df.agg(quantiles)).scalar()
+    bounds = sized(chunk_bounds(df, order, n)).scalar()
     # How many bounds lie below the value, by halving; each step stays in generated code.
     found = df.withColumns({"_bounds": bounds, CHUNK: F.lit(0)})
     step = 1 << (n.bit_length() - 1)

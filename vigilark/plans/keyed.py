@@ -21,17 +21,3 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     condition = reduce(and_, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
-
-
-def is_small(df: DataFrame, max_rows: int = 200_000) -> bool:
-    """Whether a narrow table has at most ``max_rows``, and so may be broadcast. The count stops there."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows by key when the input has fewer splits than the cluster has cores.
-
-    For costly work per row on a few files. An input of many files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

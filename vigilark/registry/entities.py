@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilark.functions.numeric import exact
 from vigilark.operators import entities as ops
 from vigilark.operators import links, profiles, rules
+from vigilark.plans.keyed import join_null_safe
 from vigilark.registry import query
 from vigilark.sources.scan import checked_scan
 from vigilark.sources.tables import schema_of, table
@@ -342,12 +343,20 @@ def distinct_users(spark: SparkSession, d: str) -> DataFrame:
     return profiles.distinct_counts(table(spark, d, "events"), ["event_type"], "user_id")
 
 
-@query()
+@query(
+    """
+    SELECT event_type, CAST(count(DISTINCT user_id) AS BIGINT) AS n_distinct, TRUE AS estimate_within_3_percent
+    FROM events GROUP BY event_type
+    """
+)
 def distinct_sketch(spark: SparkSession, d: str) -> DataFrame:
-    """Users per type, merged from daily sketches."""
+    """Users per type, merged from daily sketches, beside the exact count."""
     events = table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
     daily = profiles.distinct_sketch(events, ["event_type", "day"], "user_id")
-    return profiles.merge_sketches(daily, ["event_type"])
+    merged = profiles.merge_sketches(daily, ["event_type"]).toDF("event_type", "estimate")
+    near = F.abs(F.col("estimate") - F.col("n_distinct")) <= 0.03 * F.col("n_distinct")
+    exact = profiles.distinct_counts(events, ["event_type"], "user_id")
+    return join_null_safe(exact, merged, ["event_type"]).select("event_type", "n_distinct", near.alias("estimate_within_3_percent"))
 
 
 @query(
@@ -403,28 +412,20 @@ def rule_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    WITH RECURSIVE pairs AS (
-        SELECT DISTINCT 2 * l_suppkey AS a, 2 * l_partkey + 1 AS b FROM lineitem
-        WHERE l_returnflag = 'R' AND l_quantity >= 49
-    ), links AS (
-        SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
-    ), reached(node, label) AS (
-        SELECT a, a FROM links
-        UNION
-        SELECT b, label FROM reached JOIN links ON node = a WHERE label < b
+    WITH g AS (
+        SELECT o_custkey, least(2 * o_custkey, min(2 * o_orderkey + 1)) AS group_id FROM orders GROUP BY o_custkey
     )
-    SELECT CASE WHEN node % 2 = 0 THEN 'supplier' ELSE 'part' END AS kind, CAST(node // 2 AS BIGINT) AS key,
-           CAST(min(label) AS BIGINT) AS group_id
-    FROM reached GROUP BY node
+    SELECT 'customer' AS kind, o_custkey AS key, CAST(group_id AS BIGINT) AS group_id FROM g
+    UNION ALL
+    SELECT 'order', o_orderkey, CAST(group_id AS BIGINT) FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) JOIN g USING (o_custkey)
     """
 )
 def linked_groups(spark: SparkSession, d: str) -> DataFrame:
-    """P21 re-aimed at entities: suppliers and parts linked by large returned lines."""
-    returned = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49")
-    pairs = returned.select((2 * F.col("l_suppkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b"))
+    """P21 re-aimed at entities: customers and orders linked by all orders."""
+    pairs = table(spark, d, "orders").select((2 * F.col("o_custkey")).alias("a"), (2 * F.col("o_orderkey") + 1).alias("b"))
     found = links.linked_groups(pairs, "a", "b")
     return found.select(
-        F.when(F.col("entity") % 2 == 0, "supplier").otherwise("part").alias("kind"),
+        F.when(F.col("entity") % 2 == 0, "customer").otherwise("order").alias("kind"),
         F.floor(F.col("entity") / 2).alias("key"),
         "group_id",
     )

@@ -18,7 +18,9 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, FALSE AS malformed
+    SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+           props IS NOT NULL AND (NOT json_valid(props) OR (json_extract_string(props, '$.k') IS NOT NULL
+             AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL)) AS malformed
     FROM events
     """
 )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -60,15 +61,16 @@ class DriftProcessor(StatefulProcessor):
         held = self.sum.get()
         total = held[0] if held is not None else 0.0
         batch = pd.concat(list(rows)).sort_values([time, order])
-        alarms, drifts = [], []
-        for i, step in enumerate((batch[value] - batch[target] - self.slack).to_numpy()):
-            before, total = total, max(0.0, total + step)
-            if round(total, 6) > self.bound >= round(before, 6):
-                alarms.append(i)
-                drifts.append(round(total, 6))
-        if alarms:
-            yield batch.iloc[alarms].assign(drift=drifts)
-        self.sum.update((total,))
+        steps = (batch[value] - batch[target] - self.slack).to_numpy(float)
+        steps = np.where(np.isnan(steps), 0.0, steps)  # a row without a value changes nothing
+        run = total + np.cumsum(steps)
+        # A sum held at zero from below is the running sum less its running minimum below zero.
+        sums = run - np.minimum(np.minimum.accumulate(run), 0.0)
+        after, before = np.round(sums, 6), np.round(np.concatenate([[total], sums[:-1]]), 6)
+        alarms = np.flatnonzero((after > self.bound) & (before <= self.bound))
+        if len(alarms):
+            yield batch.iloc[alarms].assign(drift=after[alarms])
+        self.sum.update((float(sums[-1]),))
         if self.idle_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -110,8 +112,9 @@ class FollowProcessor(StatefulProcessor):
     """Waiting rows per key, each given out with the first follower within ``within_ms``.
 
     The first follower settles all waiting rows at once, so work is linear in the rows. Rows
-    of a key are taken in (time, order) within a micro-batch; a waiting row that can no
-    longer be followed is dropped by a timer once the watermark has passed.
+    of a key are taken in (time, order) within a micro-batch. The waiting rows are read only when
+    a follower comes or the timer of the oldest expires; else new ones are appended. Rows that the watermark has left
+    behind by more than ``within_ms`` are dropped by that timer, so the state holds no more than that span.
     """
 
     def __init__(self, key: str, time: str, order: str, follows: str, names: tuple[str, str], within_ms: int):
@@ -125,8 +128,9 @@ class FollowProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         name, time, order, follows = self.columns
         within = pd.Timedelta(milliseconds=self.within_ms)
-        waiting = [(number, pd.Timestamp(at)) for number, at in self.waiting.get()]
         batch = pd.concat(list(rows)).sort_values([time, follows, order])
+        anyone = bool(batch[follows].any())
+        waiting = [(number, pd.Timestamp(at)) for number, at in self.waiting.get()] if anyone else []
         found = []
         for at, number, is_follower in zip(batch[time], batch[order], batch[follows]):
             if not is_follower:
@@ -134,21 +138,39 @@ class FollowProcessor(StatefulProcessor):
                 continue
             found += [(key[0], w, t, number, at) for w, t in waiting if at - t <= within]
             waiting = []
-        if waiting:
-            self.waiting.put([(int(number), at.to_pydatetime()) for number, at in waiting])
-            last = max(at for _, at in waiting)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(last.timestamp() * 1000) + self.within_ms)
-        else:
-            self.waiting.clear()
+        state = [(int(number), at.to_pydatetime()) for number, at in waiting]
+        if anyone:
+            self._hold(state)
+        elif state:
+            self.waiting.appendList(state)
+            due = self._due(state)
+            timers = list(self.handle.listTimers())
+            if not timers or due < min(timers):
+                self._set_timer(due)
         if found:
             yield pd.DataFrame(found, columns=[name, order, time, *self.names])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.waiting.clear()
+        left = timerValues.getCurrentWatermarkInMs() - self.within_ms
+        self._hold([(n, at) for n, at in self.waiting.get() if pd.Timestamp(at).timestamp() * 1000 >= left])
         return iter([])
 
+    def _due(self, rows: list) -> int:
+        """Just after the last moment at which the oldest row can be followed."""
+        return int(min(pd.Timestamp(at).timestamp() for _, at in rows) * 1000) + self.within_ms + 1
+
+    def _set_timer(self, due: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(due)
+
+    def _hold(self, rows: list) -> None:
+        if rows:
+            self.waiting.put(rows)
+            self._set_timer(self._due(rows))
+        else:
+            self.waiting.clear()
+
     def close(self) -> None:
         pass
 

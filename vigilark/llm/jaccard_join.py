@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from vigilark.llm.hashing import mix, shingle_sets, slices
 from vigilark.operators.links import linked_groups
-from vigilark.plans.rounds import sized
+from vigilark.plans.rounds import shared_folder, sized
 
 WIDTH = 128  # entries of a sketch
-_ROW = "set_id long, doc long, text_hash long, n_shingles int, sketch binary"
+_ROW = "set_id long, doc long, text_hash long, n_shingles int, low binary, high binary"
 
 
 def _runs(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,7 +25,7 @@ def _runs(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """One value per row and bin: the least hash that falls in the bin, as 32 bits.
+    """One value per row and bin: the least hash that falls in the bin, as 32 bits, of which 16 are kept later.
 
     Two sets agree in a bin about as often as their Jaccard similarity. An empty bin takes the
     value of the next filled one with the distance mixed in.
@@ -69,9 +70,9 @@ def _described(size: int):
                     part.column("doc"),
                     part.column("text_hash"),
                     pa.array(count.astype(np.int32)),
-                    pa.array([x.tobytes() for x in sketch], pa.binary()),
+                    *(pa.array([x.tobytes() for x in (sketch >> np.uint32(8 * k)).astype(np.uint8)], pa.binary()) for k in (0, 1)),
                 ],
-                names=["set_id", "doc", "text_hash", "n_shingles", "sketch"],
+                names=["set_id", "doc", "text_hash", "n_shingles", "low", "high"],
             )
 
     return run
@@ -107,10 +108,10 @@ def _children(branch: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = _as_matrix(batch.column("sketch"), np.uint32, WIDTH)
+            low, high = (_as_matrix(batch.column(c), np.uint8, WIDTH) for c in ("low", "high"))
             path = np.ascontiguousarray(np.asarray(batch.column("path")).view(np.uint64))
             entry = _chosen(path, branch)
-            value = np.take_along_axis(sketch, entry, axis=1).astype(np.uint64)
+            value = np.take_along_axis(low, entry, axis=1) + (np.take_along_axis(high, entry, axis=1).astype(np.uint64) << np.uint64(8))
             new = mix(mix(path[:, None] + entry.astype(np.uint64)) ^ (value << np.uint64(8)))
             each = np.repeat(np.arange(len(path)), branch)
             yield pa.RecordBatch.from_arrays(
@@ -133,7 +134,7 @@ def _alike(limit: int, least: float):
             if not batch.num_rows:
                 continue
             path, ids = np.asarray(batch.column("path")), np.asarray(batch.column("set_id"))
-            sketch = _as_matrix(batch.column("short"), np.uint8, WIDTH)
+            sketch = _as_matrix(batch.column("low"), np.uint8, WIDTH)
             kept = 0
             if tail is not None:
                 kept = len(tail[0])
@@ -153,12 +154,19 @@ def _alike(limit: int, least: float):
     return run
 
 
+def _bucketed(df: DataFrame, key: str) -> tuple[str, DataFrame]:
+    """Write a table in buckets of ``key`` to the shared folder: a join on it moves the other side only."""
+    spark = df.sparkSession
+    name = f"sets_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return name, spark.table(name)
+
+
 def _candidates(sets: DataFrame, runs: int, branch: int, limit: int, least: float) -> DataFrame:
     """Edges between sets that may be similar, enough to connect all similar ones."""
     spark = sets.sparkSession
-    bare = sets.select("set_id", "sketch")
-    short = sets.select("set_id", F.expr("sketch").alias("sketch")).mapInArrow(_shortened, "set_id long, short binary")
-    short = sized(short)
+    bare = sets.select("set_id", "low", "high")
     roots = bare.withColumn("path", F.explode(F.array(*[F.lit(r + 1).cast("long") for r in range(runs)])))
     rows = sized(roots.withColumn("n", F.lit(None).cast("long")).mapInArrow(_children(branch), "path long, set_id long, above long"))
     edges = []
@@ -170,7 +178,7 @@ def _candidates(sets: DataFrame, runs: int, branch: int, limit: int, least: floa
             .withColumn("kind", F.when(F.col("n") <= limit, "small").when(F.col("n") > 0.6 * F.col("above"), "alike").otherwise("large"))
         )
         members = sized(rows.join(buckets.drop("above"), "path"))
-        in_small = members.where("kind = 'small'").join(short, "set_id").select("path", "set_id", "short")
+        in_small = members.where("kind = 'small'").join(sets.select("set_id", "low"), "set_id").select("path", "set_id", "low")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         edges.append(
             in_small.repartition(parts, "path").sortWithinPartitions("path", "set_id").mapInArrow(_alike(limit, least), "a long, b long")
@@ -179,20 +187,13 @@ def _candidates(sets: DataFrame, runs: int, branch: int, limit: int, least: floa
         large = members.where("kind = 'large'").select("path", "set_id", "n")
         if large.isEmpty():
             break
-        rows = sized(large.join(bare, "set_id").select("path", "set_id", "n", "sketch").mapInArrow(_children(branch), "path long, set_id long, above long"))
+        rows = sized(large.join(bare, "set_id").select("path", "set_id", "n", "low", "high").mapInArrow(_children(branch), "path long, set_id long, above long"))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
     return out.distinct()
 
 
-def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        whole = _as_matrix(batch.column("sketch"), np.uint32, WIDTH) if batch.num_rows else np.zeros((0, WIDTH), np.uint32)
-        low = (whole & np.uint32(255)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array([x.tobytes() for x in low], pa.binary())], names=["set_id", "short"])
-
-
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections of every left with every right set, by products of 0/1 blocks."""
     if len(left) == len(right) == 1:
@@ -300,10 +301,11 @@ def jaccard_join(
     some = described.where("n_shingles > 0")
     # The row that stands for a set: the least key, then the least hash of the text.
     head = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")).alias("head")
-    sets = sized(
+    name, sets = _bucketed(
         some.groupBy("set_id")
-        .agg(head, F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-        .select("set_id", "copies", "n_shingles", "sketch", F.col("head.doc").alias("doc"), F.col("head.text_hash").alias("text_hash"))
+        .agg(head, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_shingles", "low", "high")])
+        .select("set_id", "copies", "n_shingles", "low", "high", F.col("head.doc").alias("doc"), F.col("head.text_hash").alias("text_hash")),
+        "set_id",
     )
     edges = _candidates(sets, runs, branch, bucket_limit, threshold - 0.14)
     blobs = sized(
@@ -352,6 +354,7 @@ def jaccard_join(
             F.col("set_id").alias("_set"), F.col("group").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_id"
         )
     )
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # its files stay in the shared folder, as other written tables do
     joined = described.select("doc", "text_hash", "set_id", "n_shingles").join(known, (F.col("set_id") == F.col("_set")) & (F.col("n_shingles") > 0), "left")
     none = F.col("n_shingles") == 0
     return joined.select(

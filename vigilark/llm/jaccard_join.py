@@ -25,7 +25,7 @@ def _runs(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """One value per row and bin: the least hash that falls in the bin, as 32 bits, of which 16 are kept later.
+    """One value per row and bin: the least hash that falls in the bin, as 32 bits.
 
     Two sets agree in a bin about as often as their Jaccard similarity. An empty bin takes the
     value of the next filled one with the distance mixed in.
@@ -63,14 +63,14 @@ def _described(size: int):
         for part in slices(batches, "text"):
             hashes, owner = shingle_sets(part.column("text"), size)
             start, count = _runs(owner, part.num_rows)
-            sketch = sketches(hashes, owner, part.num_rows)
+            planes = sketches(hashes, owner, part.num_rows).view(np.uint8).reshape(-1, WIDTH, 4)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(_set_ids(hashes, start, count).view(np.int64)),
                     part.column("doc"),
                     part.column("text_hash"),
                     pa.array(count.astype(np.int32)),
-                    *(pa.array([x.tobytes() for x in (sketch >> np.uint32(8 * k)).astype(np.uint8)], pa.binary()) for k in (0, 1)),
+                    *(pa.array([x.tobytes() for x in p], pa.binary()) for p in (planes[:, :, 0], planes[:, :, 1:])),
                 ],
                 names=["set_id", "doc", "text_hash", "n_shingles", "low", "high"],
             )
@@ -108,10 +108,13 @@ def _children(branch: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            low, high = (_as_matrix(batch.column(c), np.uint8, WIDTH) for c in ("low", "high"))
+            low = _as_matrix(batch.column("low"), np.uint8, WIDTH)
+            high = _as_matrix(batch.column("high"), np.uint8, 3 * WIDTH).reshape(-1, WIDTH, 3)
             path = np.ascontiguousarray(np.asarray(batch.column("path")).view(np.uint64))
             entry = _chosen(path, branch)
-            value = np.take_along_axis(low, entry, axis=1) + (np.take_along_axis(high, entry, axis=1).astype(np.uint64) << np.uint64(8))
+            value = np.take_along_axis(low, entry, axis=1).astype(np.uint64)
+            for k in range(3):
+                value |= np.take_along_axis(high[:, :, k], entry, axis=1).astype(np.uint64) << np.uint64(8 * (k + 1))
             new = mix(mix(path[:, None] + entry.astype(np.uint64)) ^ (value << np.uint64(8)))
             each = np.repeat(np.arange(len(path)), branch)
             yield pa.RecordBatch.from_arrays(
@@ -191,7 +194,7 @@ def _candidates(sets: DataFrame, runs: int, branch: int, limit: int, least: floa
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return out.distinct()
+    return sized(out.distinct())  # read more than once by the grouping that follows
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:

@@ -105,7 +105,7 @@ def _packed(length: int, end: int, path: str, batch_tokens: int):
         pieces: list[np.ndarray] = []
         place: list[tuple[int, int]] = []
         held = 0
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 1 << 20):
             ids, count = encode(part.column("text").to_pylist(), path)
             at = 0
             for key, n in zip(part.column("doc").to_pylist(), count.tolist()):

@@ -37,7 +37,7 @@ def _stream(path: str, end: int, block: int):
                 names=["kind", "file", "number", "ids", "keys"],
             )
 
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 1 << 20):
             ids, count = encode(part.column("text").to_pylist(), path)
             flat = np.concatenate([rest, np.insert(ids, np.cumsum(count), end)])
             whole = len(flat) // block * block

@@ -76,7 +76,7 @@ def _windows(size: int, literal: int, bloom: np.ndarray | None):
     """Windows with ``literal`` tokens or more outside slots, and only those that ``bloom`` may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             token, slot, row = canonical(part.column("text"))
             n = len(token) - size + 1
             at = np.flatnonzero(row[:n] == row[size - 1 :]) if n > 0 else np.zeros(0, np.int64)

@@ -84,3 +84,17 @@ def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     assert sorted((tuple(r) for r in jaccard_join(docs).select("doc_id", "n_links", "class_id").collect()), key=str) == brute(rows)
+
+
+def test_isolated_pairs_of_short_texts_are_all_found(spark):
+    rng = random.Random(11)
+    rows = []
+    while len(rows) < 6000:
+        base = words(rng, rng.randrange(10, 61))
+        other = base[: len(base) - rng.randrange(0, 5)] + words(rng, rng.randrange(0, 8))
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    found = got(spark, rows)
+    assert [r for r in found if r[1] == 0] == []
+    assert found == brute(rows)

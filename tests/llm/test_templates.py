@@ -41,3 +41,28 @@ def test_every_given_passage_is_found_and_little_else(spark):
     held = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if i["text"] in d["text"]}
     got = {(r["doc_id"], r["item_id"]) for r in template_matches(docs, items).select("doc_id", "item_id").collect()}
     assert held and held <= got and len(got - held) <= 0.02 * docs.count()
+
+
+def test_each_occurrence_is_judged_by_itself(spark):
+    twin = ITEM.replace("40", "75").replace("Anna", "Carla").replace("12 dollars", "9 euros").replace("Bob", "Dan")
+    third = ITEM.replace("40", "31").replace("Anna", "Fay").replace("12 dollars", "7 pounds").replace("Bob", "Gus")
+    moved = third.replace("and Fay", "and then slowly Fay")
+    got = run(spark, [(1, f"{ITEM} {twin}", "", ""), (2, f"{twin} {third}", "", ""), (3, f"{twin} so it went on. {moved}", "", "")])
+    assert set(got) == {(1, 1), (2, 1), (3, 1)}
+    assert got[1, 1]["exact"] and got[1, 1]["coverage"] == 1.0
+    assert not got[2, 1]["exact"] and got[2, 1]["n_slots"] == got[2, 1]["n_consistent"]
+
+
+def test_items_without_usual_windows(spark):
+    table_like = " ".join(f"word{i} {i} {i + 50} {i + 90} {i + 130}" for i in range(6))
+    items = [(1, "What is the capital of Peru?"), (2, table_like), (3, "3 5 8"), (4, "x1 is 7"), (5, "seven words have this short item here")]
+    docs = [
+        (1, "He asked: WHAT IS the capital of Peru? Nobody knew.", "", ""),
+        (2, f"before {table_like} after", "", ""),
+        (3, f"before {table_like.replace('130', '777')} after", "", ""),
+        (4, "it goes 3 5 8 and on", "", ""),
+        (5, "it goes 3 5 9 and on", "", ""),
+        (6, "then seven words have this short item here.", "", ""),
+        (7, "what is the capital", "", ""),
+    ]
+    assert set(run(spark, docs, items)) == {(1, 1), (2, 2), (3, 2), (4, 3), (6, 5)}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilark.llm.hashing import _PLACE, hash_spans, mix, slices, text_buffer
+from vigilark.llm.hashing import _BASE, _PLACE, hash_spans, mix, powers, slices, text_buffer
 from vigilark.plans.rounds import sized
 
 # Units that count as such after a number.
@@ -107,10 +107,71 @@ def _windows(size: int, literal: int, bloom: np.ndarray | None):
     return run
 
 
+def _runs_of(token: np.ndarray, long: int) -> np.ndarray:
+    """A hash of the ``long`` tokens from each place on, for any ``long``."""
+    n = len(token)
+    total = np.r_[np.uint64(0), np.cumsum(token * powers(n)[:n])]
+    back = np.full(max(n, 1), pow(int(_BASE), -1, 1 << 64), np.uint64)
+    back[0] = 1
+    return mix((total[long:] - total[:-long]) * np.multiply.accumulate(back)[: n - long + 1] + np.uint64(long))
+
+
+def _whole_items(literal: int, kinds: list[tuple[int, bool]] | None = None, bloom: np.ndarray | None = None):
+    """Of benchmark items one window of all tokens as they stand and, with ``literal`` tokens outside slots, one of the template.
+
+    With ``kinds``, the windows of those lengths that ``bloom`` may hold, of all places of documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            token, slot, row = canonical(part.column("text"))
+            as_is = np.where(slot != 0, slot, token) ^ np.uint64(0x5A5A5A5A)
+            plain = np.r_[0, np.cumsum(slot == 0)]
+            head = np.searchsorted(row, np.arange(part.num_rows))
+            tokens = np.bincount(row, minlength=part.num_rows)
+            for long, template in kinds if kinds is not None else [(int(x), t) for x in np.unique(tokens) if x for t in (False, True)]:
+                if long > len(token):
+                    continue
+                value = _runs_of(token if template else as_is, long)
+                if kinds is None:
+                    at = head[tokens == long]
+                else:
+                    at = np.flatnonzero(row[: len(value)] == row[long - 1 :])
+                    bit = value[at] & np.uint64(BLOOM_BITS - 1)
+                    at = at[(bloom[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+                if template:
+                    at = at[plain[at + long] - plain[at] >= literal]
+                owner = row[at]
+                width = long if template else 0
+                slots = slot[at[:, None] + np.arange(width)[None, :]].view(np.int64).ravel() if width and len(at) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id").take(pa.array(owner)),
+                        part.column("text_hash").take(pa.array(owner)),
+                        pa.array((at - head[owner]).astype(np.int64)),
+                        pa.array(value[at].view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * width).astype(np.int32)), pa.array(slots)),
+                        pa.array(np.full(len(at), long, np.int64)),
+                        pa.array(np.full(len(at), template)),
+                    ],
+                    names=["id", "text_hash", "at", "window", "slots", "long", "template"],
+                )
+
+    return run
+
+
+def _hashed(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+
 def _template_rows(df: DataFrame, key: str, text: str, size: int, literal: int, bloom: np.ndarray | None = None) -> DataFrame:
     kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(_windows(size, literal, bloom), f"id {kind}, text_hash long, at long, window long, slots array<long>")
+    return _hashed(df, key, text).mapInArrow(_windows(size, literal, bloom), f"id {kind}, text_hash long, at long, window long, slots array<long>")
+
+
+def _whole_rows(df: DataFrame, key: str, text: str, literal: int, kinds: list[tuple[int, bool]] | None = None, bloom: np.ndarray | None = None) -> DataFrame:
+    schema = f"id {dict(df.dtypes)[key]}, text_hash long, at long, window long, slots array<long>, long long, template boolean"
+    return _hashed(df, key, text).mapInArrow(_whole_items(literal, kinds, bloom), schema)
 
 
 def template_matches(
@@ -132,34 +193,52 @@ def template_matches(
     of fixed size (0.5 MB) over the benchmark's windows thins the documents' windows before the shuffle;
     the join decides. Documents without a match are not returned.
 
+    Every occurrence is judged by itself, and a document matches if any is covered and consistent. Windows are of one occurrence if
+    their place in the document less that in the item is the same, or lies in the same range of 2 ``size`` (of two sets of ranges, so that
+    a shift of up to ``size`` always lies in one); the whole document is judged as well. The best accepted occurrence is returned.
+    An item without such windows (short, or with few literals) is one window: all its tokens as they stand, whatever their case and without a
+    slot check, or all its template if that has ``literal`` tokens outside placeholders. Documents are hashed once for each length of such items.
+
     Returns ``key``, text_hash (``xxhash64`` of the text), ``item``, n_windows (distinct windows of the item that were found), item_windows,
     coverage, n_slots (distinct slot values matched), n_consistent and exact (every slot holds the item's own value). Null and
-    empty texts and items with under ``size`` tokens never match. Null keys are results like others. Equal rows (same key and
+    empty texts never match. Null keys are results like others. Equal rows (same key and
     text) give one result; repeated items one each by their key, equal keys with other texts being items of their own. Other columns are ignored.
     """
-    windows = sized(_template_rows(benchmark, item, text, size, literal).distinct())
+    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
+    usual = sized(_template_rows(benchmark, item, text, size, literal).distinct())
+    whole = _whole_rows(benchmark, item, text, literal).distinct()
+    whole = sized(whole.join(usual, same(whole, usual, ["id", "text_hash"]), "left_anti"))
+    kinds = sorted((r["long"], r["template"]) for r in whole.select("long", "template").distinct().collect())
+    windows = usual.unionByName(whole.drop("long", "template"))
     bit = F.col("window").bitwiseAND(BLOOM_BITS - 1)
     words = windows.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(window & 63 as int))")).alias("bits")).collect()
     bloom = np.zeros(BLOOM_BITS // 64, np.uint64)
     bloom[[r["w"] for r in words]] = np.array([r["bits"] for r in words], np.int64).view(np.uint64)
     found = _template_rows(docs, key, text, size, literal, bloom)
+    if kinds:
+        found = found.unionByName(_whole_rows(docs, key, text, literal, kinds, bloom).drop("long", "template"))
     its = windows.select(F.col("id").alias("_item"), F.col("text_hash").alias("_item_hash"), F.col("at").alias("_at"), "window", F.col("slots").alias("_slots"))
     both = found.join(its, "window").select(
-        "id", "text_hash", "_item", "_item_hash", "_at", F.filter(F.arrays_zip("_slots", "slots"), lambda x: x["_slots"] != 0).alias("pairs")
+        "id", "text_hash", "_item", "_item_hash", "_at", (F.col("at") - F.col("_at")).alias("place"), F.filter(F.arrays_zip("_slots", "slots"), lambda x: x["_slots"] != 0).alias("pairs")
     )
-    by = ["id", "text_hash", "_item", "_item_hash"]
-    both = sized(both)
+    each = ["id", "text_hash", "_item", "_item_hash"]
+    by = [*each, "level", "part"]
+    place, wide = F.col("place"), 2 * size
+    parts = [F.lit(0).cast("long"), place, F.floor(place / wide), F.floor((place + size) / wide)]
+    occurrence = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), x.cast("long").alias("part")) for k, x in enumerate(parts)])).alias("o")
+    both = sized(both).select(*each, "_at", "pairs", occurrence).select(*each, "o.level", "o.part", "_at", "pairs")
     covered = both.groupBy(*by, "_at").agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count("*").alias("n_windows"))
     values = both.select(*by, F.explode("pairs").alias("p")).select(*by, F.col("p._slots").alias("a"), F.col("p.slots").alias("b"))
     values = values.distinct().groupBy(*by, "a").agg(F.count("*").alias("n"), F.min(F.col("a") == F.col("b")).alias("same"))
     values = values.groupBy(*by).agg(F.count("*").alias("n_slots"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("n_consistent"), F.min(F.col("same") & (F.col("n") == 1)).alias("exact"))
-    total = windows.groupBy(F.col("id").alias("_item"), F.col("text_hash").alias("_item_hash")).agg(F.count("*").alias("item_windows"))
-    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
+    total = windows.groupBy(F.col("id").alias("_item"), F.col("text_hash").alias("_item_hash")).agg(F.countDistinct("at").alias("item_windows"))
     first = covered.alias("c").join(total.alias("t"), same(covered, total, ["_item", "_item_hash"])).select(*[covered[c] for c in by], "n_windows", "item_windows")
     out = first.join(values, same(first, values, by), "left").select(
         *[first[c] for c in by], "n_windows", "item_windows", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_slots", "n_consistent")], F.coalesce("exact", F.lit(True)).alias("exact")
     )
     coverage = F.col("n_windows") / F.col("item_windows")
-    return out.where((coverage >= least) & (F.col("n_consistent") >= consistent * F.col("n_slots"))).select(
+    accepted = out.where((coverage >= least) & (F.col("n_consistent") >= consistent * F.col("n_slots")))
+    best = accepted.groupBy(*each).agg(F.max(F.struct("exact", "n_windows", "n_consistent", (-F.col("n_slots")).alias("_fewest"), "n_slots", "item_windows")).alias("best")).select(*each, "best.*")
+    return best.select(
         F.col("id").alias(key), "text_hash", F.col("_item").alias(item), "n_windows", "item_windows", coverage.alias("coverage"), "n_slots", "n_consistent", "exact"
     )

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import math
 import re
 import zlib
@@ -89,3 +90,17 @@ def test_bounded_trie_and_folds(spark):
     plain = ppm_scores(docs, registry._fold("doc_id", 5) == 1, order=1).where("held_out").agg(F.sum("score").alias("s")).first()["s"]
     assert sum(r["score"] for r in got if r["held_out"]) > 0.9 * plain
     assert small < sum(r["score"] for r in got)
+
+
+@pytest.mark.parametrize("cache", [0, 200])
+def test_grams_that_are_not_cached_are_joined_exactly(spark, cache):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 300).alias("text")).limit(40).collect()
+    rows = [(r["doc_id"], r["text"], i % 3 == 0) for i, r in enumerate(given)] + [(900, "the é 日本 zzzz ~~~", True), (901, "日本 語", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(3)
+    got = sorted(map(tuple, ppm_scores(docs, F.col("h"), order=3, cache_grams=cache).collect()), key=str)
+    for a, b in zip(got, brute(rows, 3), strict=True):
+        assert a[:5] == b[:5] and a[6] == pytest.approx(b[6], rel=1e-9)
+
+
+def test_no_gram_is_dropped_by_default():
+    assert inspect.signature(ppm_scores).parameters["max_grams"].default is None

@@ -96,6 +96,8 @@ class Table:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
         at = self._slot(keys)
         place = self.slots[at]
         wrong = np.flatnonzero((place >= 0) & (self.keys[place] != keys))
@@ -107,89 +109,62 @@ class Table:
         return place
 
 
-class Trie:
-    """Byte contexts of up to ``order`` with escapes by method C and exclusion of the symbols of longer contexts.
+def _levels(grams: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """For each order the grams with their counts, and the contexts with their escapes; each a table as large as it needs to be.
 
-    In a context seen n times with d symbols, a symbol seen c times has c / (n + d) and the escape
-    d / (n + d). After an escape, the symbols of the longer context cannot follow; they are a
+    Escapes are by method C with exclusion of the symbols of longer contexts. In a context seen n times with d symbols, a symbol seen c times
+    has c / (n + d) and the escape d / (n + d). After an escape, the symbols of the longer context cannot follow; they are a
     subset of those of the shorter one, so n and d less their share depend on the longer context alone and are kept with it.
-    After order 0 the symbols not seen in training are alike.
     """
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int):
-        self.order = order
-        self.levels = []
-        below = None
-        for k in range(order + 1 if len(grams) else 0):
-            # The lowest byte is the symbol; the context's last bytes are above it.
-            keys = grams & ((np.uint64(1) << np.uint64(8 * (k + 1))) - np.uint64(1))
-            keys, at = np.unique(keys, return_inverse=True)
-            count = np.bincount(at, counts, len(keys)).astype(np.float64)
-            context, owner = np.unique(keys >> np.uint64(8), return_inverse=True)
-            n = np.bincount(owner, count, len(context))
-            d = np.bincount(owner, minlength=len(context)).astype(np.float64)
-            level = {"grams": Table(keys), "count": count.astype(np.float32), "contexts": Table(context), "n": n, "d": d}
-            if below is not None:
-                shorter = np.uint64((1 << (8 * k)) - 1)  # a gram of k bytes: the symbol and the k - 1 bytes before
-                own = below["count"][below["grams"].find(keys & shorter)].astype(np.float64)
-                parent = below["contexts"].find(context & np.uint64((1 << (8 * (k - 1))) - 1))
-                level["n_less"] = below["n"][parent] - np.bincount(owner, own, len(context))
-                level["d_less"] = below["d"][parent] - d
-            with np.errstate(divide="ignore"):
-                level["top"] = (np.log10(count) - np.log10((n + d)[owner])).astype(np.float32)
-            self.levels.append(level)
-            below = level
-        self.symbols = len(self.levels[0]["count"]) if self.levels else 0
-
-    def log10(self, flat: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """log10 probability of every byte after those before it in its row."""
-        if not self.levels:
-            return np.full(len(flat), -math.log10(256))
-        out = np.zeros(len(flat))
-        keys = (contexts(flat, row, self.order) << np.uint64(8)) | flat
-        open_ = np.arange(len(flat))
-        longer = None  # place of the longer context that was escaped from, -1 where there is none
-        for k in range(self.order, -1, -1):
-            level = self.levels[k]
-            own = keys[open_] & np.uint64((1 << (8 * (k + 1))) - 1)
-            place = level["grams"].find(own)
-            hit = place >= 0
-            if longer is None:
-                out[open_[hit]] += level["top"][place[hit]]
-                escaped = np.zeros(0, bool)
-            else:
-                above = self.levels[k + 1]
-                fresh = longer < 0
-                n = np.where(fresh, 0.0, above["n_less"][longer])
-                d = np.where(fresh, 0.0, above["d_less"][longer])
-                at = hit & fresh
-                out[open_[at]] += level["top"][place[at]]
-                at = hit & ~fresh
-                out[open_[at]] += np.log10(level["count"][place[at]]) - np.log10(n[at] + d[at])
-                escaped = ~hit & ~fresh
-            miss = ~hit
-            context = level["contexts"].find(own[miss] >> np.uint64(8))
-            seen = context >= 0
-            escape = np.zeros(int(miss.sum()))
-            tops = seen if longer is None else seen & ~escaped[miss]
-            c = context[tops]
-            escape[tops] = np.log10(level["d"][c]) - np.log10(level["n"][c] + level["d"][c])
-            if longer is not None:
-                some = escaped[miss]
-                nn, dd = n[miss][some], d[miss][some]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    # No symbol is left here: the escape is certain.
-                    escape[some] = np.where(nn + dd > 0, np.log10(dd) - np.log10(nn + dd), 0.0)
-                escape = np.nan_to_num(escape, neginf=0.0)
-            open_, longer = open_[miss], context
-            out[open_] += escape
-        out[open_] -= math.log10(max(1, 256 - self.symbols))
-        return out
-
-
-def _scored(model, frequent, n_train: int, n_types: int, learned):
+    counts = [grams.select(F.col("gram").alias("g"), F.col("n").alias("c"))]
+    for k in range(order - 1, -1, -1):
+        counts.insert(0, sized(counts[0].groupBy(_last("g", k + 1).alias("g")).agg(F.sum("c").alias("c"))))
+    contexts_ = []
+    for k, level in enumerate(counts):
+        context = F.shiftrightunsigned("g", 8).alias("x")
+        if not k:
+            contexts_.append(sized(level.groupBy(context).agg(F.sum("c").alias("n"), F.count("*").alias("d")).withColumns({"n_less": F.lit(0), "d_less": F.lit(0)})))
+            continue
+        shorter = counts[k - 1].select(F.col("g").alias("_g"), F.col("c").alias("own"))
+        own = level.join(shorter, _last("g", k) == F.col("_g"))
+        sums = own.groupBy(context).agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.sum("own").alias("own"))
+        below = contexts_[k - 1].select(F.col("x").alias("_x"), F.col("n").alias("_n"), F.col("d").alias("_d"))
+        joined = sums.join(below, _last("x", k - 1) == F.col("_x"))
+        contexts_.append(sized(joined.select("x", "n", "d", (F.col("_n") - F.col("own")).alias("n_less"), (F.col("_d") - F.col("d")).alias("d_less"))))
+    return counts, contexts_
+
+
+def _last(name: str, size: int):
+    """The last ``size`` bytes of a gram or context."""
+    return F.col(name).bitwiseAND((1 << (8 * size)) - 1 if size < 8 else -1)
+
+
+def _unseen(wanted: DataFrame, counts: list[DataFrame], contexts_: list[DataFrame], symbols: int) -> DataFrame:
+    """log10 probability of grams, from the longest context down; after order 0 the symbols not seen in training are alike."""
+    none = F.lit(None).cast("double")
+    rows = wanted.select("gram", F.lit(0.0).alias("sum"), none.alias("value"), none.alias("nl"), none.alias("dl"))
+    for k in range(len(counts) - 1, -1, -1):
+        rows = rows.withColumns({"_g": _last("gram", k + 1), "_x": F.shiftrightunsigned(_last("gram", k + 1), 8)})
+        rows = rows.join(counts[k], F.col("_g") == F.col("g"), "left").join(contexts_[k], F.col("_x") == F.col("x"), "left")
+        open_, fresh = F.col("value").isNull(), F.col("nl").isNull()
+        n, d = F.when(fresh, F.col("n")).otherwise(F.col("nl")), F.when(fresh, F.col("d")).otherwise(F.col("dl"))
+        hit = open_ & F.col("c").isNotNull()
+        # Where no symbol is left the escape is certain.
+        escape = F.when(open_ & F.col("c").isNull() & F.col("x").isNotNull() & (d > 0), F.log10(d) - F.log10(n + d)).otherwise(0.0)
+        rows = rows.select(
+            "gram",
+            (F.col("sum") + escape).alias("sum"),
+            F.when(hit, F.col("sum") + F.log10("c") - F.log10(n + d)).otherwise(F.col("value")).alias("value"),
+            F.col("n_less").cast("double").alias("nl"),
+            F.col("d_less").cast("double").alias("dl"),
+        )
+    return rows.select("gram", F.coalesce("value", F.col("sum") - math.log10(max(1, 256 - symbols))).alias("p"))
+
+
+def _scored(cache, order: int, frequent, n_train: int, n_types: int, learned):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _trie(model)
+        grams, logs = cache.value
+        near = Table(grams)
         words, counts = frequent.value
         known = Table(words)
         task, at = TaskContext.get().partitionId(), 0
@@ -198,7 +173,11 @@ def _scored(model, frequent, n_train: int, n_types: int, learned):
             raw, bounds = text_buffer(part.column("text"))
             flat, row, starts, ends, rows = token_bytes(raw, bounds)
             n = part.num_rows
-            score = np.bincount(row, trie.log10(flat, row), n)
+            keys = (contexts(flat, row, order) << np.uint64(8)) | flat
+            place = near.find(keys)
+            far = place < 0
+            score = np.bincount(row[~far], logs[place[~far]], n).astype(np.float64)  # of no rows it makes integers
+            far_cuts = np.searchsorted(row[far], np.arange(n + 1)).astype(np.int32)
             hashes = hash_spans(raw, starts, ends)
             place = known.find(hashes)
             hit = place >= 0
@@ -217,25 +196,15 @@ def _scored(model, frequent, n_train: int, n_types: int, learned):
                     pa.array(base),
                     pa.array(score),
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(rest)),
+                    pa.ListArray.from_arrays(pa.array(far_cuts), pa.array(keys[far].view(np.int64))),
                 ],
-                names=["row", "doc", "held_out", "n_tokens", "n_known", "base", "score", "rest"],
+                names=["row", "doc", "held_out", "n_tokens", "n_known", "base", "score", "rest", "far"],
             )
             at += n
 
     return run
 
 
-_tries: dict[int, Trie] = {}
-
-
-def _trie(model) -> Trie:
-    """The trie of a broadcast model, built once in a worker."""
-    if model.value[3] not in _tries:
-        _tries.clear()
-        _tries[model.value[3]] = Trie(*model.value[:3])
-    return _tries[model.value[3]]
-
-
 def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of a part with how often they occur, in all and in training rows."""
     for part in slices(batches, "text", 16 << 20):
@@ -247,21 +216,45 @@ def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64)), pa.array(learned)], names=["word", "n", "c"])
 
 
+def _least_count(grams: DataFrame, most: int) -> DataFrame:
+    """The grams of the least count at which they are ``most`` or fewer; from 1024 on counts are taken by powers of two."""
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2("n"))).cast("long"))
+    sizes = [(r["step"], r["grams"]) for r in grams.groupBy(step.alias("step")).agg(F.count("*").alias("grams")).orderBy(F.col("step").desc()).collect()]
+    held, least = 0, None
+    for n, many in sizes:
+        if held + many > most:
+            break
+        held, least = held + many, n
+    return grams.where(F.col("n") >= least) if least is not None else grams.limit(0)
+
+
+def _most(grams: DataFrame, most: int) -> DataFrame:
+    """``most`` grams at most: those of the least count that fits, or of counts of a thousand and more the most frequent."""
+    sizes = [(r["n"], r["grams"]) for r in grams.where("n < 1000").groupBy("n").agg(F.count("*").alias("grams")).orderBy("n").collect()]
+    left, least = grams.count(), 1
+    for n, many in sizes:
+        if left <= most:
+            break
+        left, least = left - many, n + 1
+    return grams.orderBy(F.col("n").desc(), "gram").limit(most) if left > most else grams.where(F.col("n") >= least)
+
+
 def ppm_scores(
     docs: DataFrame,
     held_out,
     key: str = "doc_id",
     text: str = "text",
     order: int = 5,
-    max_grams: int = 1_500_000,
+    max_grams: int | None = None,
     max_frequent: int = 100_000,
+    cache_grams: int = 1_500_000,
 ) -> DataFrame:
     """log10 probability of every text by a byte-level PPM model learned from the rows where ``held_out`` is false.
 
     Grams of ``order`` bytes and the next byte are counted over all training rows; shorter contexts
-    follow from them. The counts are a table that grows with the input. What is sent to the tasks is bounded by
-    ``max_grams`` (24 MB): if there are more, the trie is cut as PPM coders cut theirs when their memory is full, by the least
-    count at which it fits; its shorter contexts are then those of the grams that stay.
+    follow from them. The counts of every order are tables that grow with the input, and none is dropped. The most frequent grams, ``cache_grams`` at most, are
+    sent to the tasks with their probabilities (24 MB); all others, and grams not seen in training, are joined. Only if a caller gives ``max_grams``
+    is the model cut to that many grams, by the least count at which they fit; its shorter contexts are then those of the grams that stay.
     ``base_score`` is that of a unigram model of words with 0.5 added. Its counts are exact: the
     ``max_frequent`` most frequent words are sent to the tasks, all others are joined by their hash.
 
@@ -274,19 +267,15 @@ def ppm_scores(
     grams = sized(
         rows.where("NOT held_out").select("text").mapInArrow(_counted(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     )
-    sizes = [(r["n"], r["grams"]) for r in grams.where("n < 1000").groupBy("n").agg(F.count("*").alias("grams")).orderBy("n").collect()]
-    left, least = grams.count(), 1
-    for n, many in sizes:
-        if left <= max_grams:
-            break
-        left, least = left - many, n + 1
-    if left > max_grams:  # counts of a thousand and more: the most frequent
-        kept = grams.orderBy(F.col("n").desc(), "gram").limit(max_grams)
-    else:
-        kept = grams.where(F.col("n") >= least)
-    column = lambda t, name: t.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-    trie = kept.toArrow()
-    model = spark.sparkContext.broadcast((column(trie, "gram").view(np.uint64), column(trie, "n"), order, int(np.random.default_rng().integers(2**60))))
+    if max_grams is not None:
+        grams = sized(_most(grams, max_grams))
+    counts, contexts_ = _levels(grams, order)
+    symbols = counts[0].count()
+    column = lambda t, name, kind=np.int64: t.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(kind)
+    escaped = contexts_[order].select("x", F.col("n").alias("_n"), "d")
+    seen = lambda some: some.join(escaped, F.shiftrightunsigned("gram", 8) == F.col("x")).select("gram", (F.log10("n") - F.log10(F.col("_n") + F.col("d"))).alias("p"))
+    top = seen(_least_count(grams, cache_grams)).toArrow()
+    cache = spark.sparkContext.broadcast((column(top, "gram").view(np.uint64), column(top, "p", np.float64)))
     words = sized(rows.select("text", "held_out").mapInArrow(_word_hashes, "word long, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")))
     ends = rows.agg(F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("x")).first()["x"] or 0
     sums = words.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("v")).first()
@@ -294,18 +283,23 @@ def ppm_scores(
     top = words.orderBy(F.col("n").desc(), "word").limit(max_frequent).toArrow()
     frequent = spark.sparkContext.broadcast((column(top, "word").view(np.uint64), column(top, "c")))
     kind = dict(rows.dtypes)["doc"]
-    schema = f"row long, doc {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>"
-    scored = sized(rows.mapInArrow(_scored(model, frequent, n_train, n_types, ends), schema))
+    schema = f"row long, doc {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>, far array<long>"
+    scored = sized(rows.mapInArrow(_scored(cache, order, frequent, n_train, n_types, ends), schema))
     rest = scored.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k")).join(words.select("word", "c"), "word")
     more = rest.groupBy("row").agg(
         F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / (n_train + 0.5 * (n_types + 1)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known")
     )
-    return scored.drop("rest").join(more, "row", "left").select(
+    far = sized(scored.select("row", F.explode("far").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("k")))
+    wanted = far.select("gram").distinct()
+    known = seen(grams.join(wanted, "gram", "left_semi"))
+    chances = sized(known.unionByName(_unseen(wanted.join(grams, "gram", "left_anti"), counts, contexts_, symbols)))
+    rare = far.join(chances, "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("p")).alias("rare"))
+    return scored.drop("rest", "far").join(more, "row", "left").join(rare, "row", "left").select(
         F.col("doc").alias(key),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigilark.llm import additive, apportion, bytes_model, cross_parsing, html_blocks, jaccard_join, line_rules, packing, separators, templates
+from vigilark.llm import additive, apportion, bytes_model, cross_parsing, html_blocks, jaccard_join, line_rules, manifest, packing, separators, templates
 from vigilark.sources.tables import table
 
 QUERIES: dict = {}
@@ -84,3 +84,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.schema("doc_id bigint, quality int, toxic int").parquet(f"{sf_dir}/labels.parquet")
     return additive.quality_scores(table(spark, sf_dir, "documents"), labels, _fold("doc_id", 4) == 2)
+
+
+@query()
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
+    changed = {"n_chars": F.when(picked, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return manifest.manifest(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], "lang", changed)

@@ -188,7 +188,7 @@ def _paths_below(batches):
 
 def paths_to(layers: Sequence[DataFrame], groups: Sequence[str], above: DataFrame, bits: int = BITS) -> DataFrame:
     """The path of the top of every run of the first layer: ``above`` (groups, ``path``, more columns) gives those of the roots."""
-    paths = above.withColumn("block", F.lit(0).cast("long"))
+    paths = sized(above.withColumn("block", F.lit(0).cast("long")))
     more = [c for c in above.columns if c not in (*groups, "path")]
     for layer in reversed(layers[1:]):
         ran = join_null_safe(layer.select(*groups, "block", "leaves", "levels", "log"), paths, [*groups, "block"]).withColumn("bits", F.lit(bits))
@@ -250,7 +250,7 @@ def manifest(df: DataFrame, key: str, fields: Sequence[str], group: str, changed
     root = crown[-1].select(F.lower(F.hex("top")).alias("root"), F.array().cast("array<string>").alias("path"))
     tops = _subroot_paths(crown, root, bits)
     above = join_null_safe(tops, layers[-1].select("_group", F.lower(F.hex("top")).alias("subroot")), ["_group"])
-    paths = paths_to(layers, ["_group"], sized(above), bits)
+    paths = paths_to(layers, ["_group"], above, bits)
     ran = join_null_safe(layers[0].select("_group", "block", "leaves", "levels", "log", "_key", "_changed"), paths, ["_group", "block"])
     whole = ran.select("leaves", "levels", "log", F.col("_key").alias("key"), F.col("_changed").alias("changed"), "subroot", "root", "path")
     kind = df.schema[key].dataType

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigilark.llm import additive, apportion, bytes_model, cross_parsing, html_blocks, jaccard_join, line_rules, manifest, packing, separators, templates
+from vigilark.llm import additive, apportion, bytes_model, cross_parsing, html_blocks, jaccard_join, line_rules, line_runs, manifest, packing, separators, templates
 from vigilark.sources.tables import table
 
 QUERIES: dict = {}
@@ -91,3 +91,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
     changed = {"n_chars": F.when(picked, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
     return manifest.manifest(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], "lang", changed)
+
+
+@query(line_runs.SQL)
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigilark.llm import additive, apportion, bytes_model, cross_parsing, html_blocks, jaccard_join, line_rules, line_runs, manifest, packing, separators, templates
+from vigilark.llm import additive, apportion, bytes_model, cross_parsing, html_blocks, jaccard_join, line_rules, line_runs, manifest, packing, repair, separators, templates
 from vigilark.sources.tables import table
 
 QUERIES: dict = {}
@@ -96,3 +96,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(line_runs.SQL)
 def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"))

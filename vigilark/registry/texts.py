@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.operators import profiles, texts, threads, vectors
+from vigilark.operators import neighbours, profiles, texts, threads, vectors
 from vigilark.registry import query
 from vigilark.sources.tables import table
 
@@ -177,3 +177,26 @@ def centroid_outliers(spark: SparkSession, d: str) -> DataFrame:
 def thread_summary(spark: SparkSession, d: str) -> DataFrame:
     """P31."""
     return threads.thread_summary(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query(
+    """
+    WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (
+        SELECT q.vec_id, r.vec_id AS neighbour, round(list_cosine_similarity(q.e, r.e), 9) AS similarity
+        FROM u q JOIN u r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0
+    )
+    SELECT vec_id, neighbour, round(similarity, 6) AS similarity,
+           row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS position
+    FROM p QUALIFY position <= 10
+    """
+)
+def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of every fiftieth, exact."""
+    found = neighbours.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", VECTOR_LENGTH, F.col("vec_id") % 50 == 0, 10)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def vector_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of cosine 0.3 or more, up to ten for every fiftieth, by sign keys; recall is tested."""
+    return neighbours.similar(table(spark, d, "embeddings"), "vec_id", "embedding", VECTOR_LENGTH, F.col("vec_id") % 50 == 0, 10, 0.3)

@@ -143,3 +143,16 @@ def test_sketches_merge(spark):
 def test_column_profile_counts_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "b"), (None, "a")], "x int, y string")
     assert rows(profiles.column_profile(df, ["x", "y"])) == [("x", 3, 1, "1", "2"), ("y", 3, 1, "a", "b")]
+
+
+def test_many_metrics_equal_one_at_a_time(spark):
+    data = [(i, "a" if i % 3 else None, float(i % 4) if i % 5 else None, i % 7) for i in range(60)]
+    df = spark.createDataFrame(data, "id int, g string, x double, y int")
+    got = ops.normalise_metrics(df, "id", ["g"], ["x", "y"], chunks=4)
+    one = ops.normalise_metric(ops.normalise_metric(df, ["g"], "x"), ["g"], "y")
+    names = ["id", *[f"{m}_{k}" for m in "xy" for k in ("min_max", "z_score", "pct_rank")]]
+    assert got.columns == names
+    plain = lambda d: [tuple(v if v is None else round(v, 9) for v in r) for r in rows(d.select(names))]
+    assert [r for r in plain(got) if r[1] is not None] == [r for r in plain(one) if r[1] is not None]
+    scans = lambda metrics: ops.normalise_metrics(df, "id", ["g"], metrics)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert scans(["x"]) == scans(["x", "y"])

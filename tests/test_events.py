@@ -10,6 +10,8 @@ from conftest import rows
 from vigilark.operators import events as ops
 from vigilark.operators import threads
 
+T0 = dt.datetime(2024, 1, 1)
+
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "id bigint, u string, t timestamp_ntz, v double"
 
@@ -152,3 +154,33 @@ def test_text_after_the_json_is_malformed(spark):
     df = spark.createDataFrame([('{"k":1} xyz',), ('{"k":1}',), ('{"k":"x"}',), ("{bad",), ("",), (None,)], "p string")
     got = {r["p"]: r["malformed"] for r in ops.parse_props(df, "p", {"k": "bigint"}).collect()}
     assert got == {'{"k":1} xyz': True, '{"k":1}': False, '{"k":"x"}': True, "{bad": True, "": True, None: False}
+
+
+def test_all_followers_equal_all_pairs(spark):
+    rng = random.Random(5)
+    make = lambda n, o: [(rng.choice([None, 1, 1, 1, 2]), rng.choice([None, *[T0 + dt.timedelta(minutes=rng.randrange(600))] * 4]), o + i) for i in range(n)]
+    left, right = make(60, 0), make(60, 1000)
+    for kind in ("timestamp_ntz", "timestamp"):
+        shape = f"u int, t {kind}, id int"
+        got = ops.followers_within(spark.createDataFrame(left, shape), spark.createDataFrame(right, shape), "u", "t", {"id": "other", "t": "then"}, "1 hour 30 minutes")
+        hour = dt.timedelta(minutes=90)
+        want = [(a[2], b[2]) for a in left for b in right if None not in (*a, *b) and a[0] == b[0] and a[1] <= b[1] <= a[1] + hour]
+        assert rows(got, "id", "other") == sorted(want) and got.columns == ["u", "t", "id", "other", "then"]
+    with pytest.raises(ValueError):
+        ops.followers_within(spark.createDataFrame(left, shape), spark.createDataFrame(right, shape), "u", "t", {}, "soon")
+
+
+def test_only_the_borders_of_a_chunk_are_merged(spark):
+    """One user, sessions of a few seconds: the window over the user sees two pieces a chunk."""
+    times = [T0 + dt.timedelta(seconds=10 * i + (i % 3)) for i in range(2000)]
+    df = spark.createDataFrame([(1, t, 1.0) for t in times], "u int, t timestamp_ntz, v double")
+    got = ops.sessions(df, "u", "t", "v", "9 seconds", chunks=8)
+    want, last = [], None
+    for t in sorted(times):
+        if last is None or t - last > dt.timedelta(seconds=9):
+            want.append([t, 0])
+        want[-1][1] += 1
+        last = t
+    assert rows(got, "session_start", "n_events") == [tuple(w) for w in want] and len(want) > 500
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "_edge" in plan

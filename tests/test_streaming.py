@@ -215,3 +215,39 @@ def test_waiting_rows_are_dropped_in_time(spark, tmp_path, rocksdb):
     marked = state.watermarked(scan, "ts", "1 hour").withColumn("follows", F.col("value") > 0)
     found = run(state.followed_state(marked, "key", "ts", "id", "follows", ("n", "t"), 4 * 3600 * 1000), "waiting", "append", tmp_path)
     assert rows(found, "id", "n") == [(1, 3), (2, 3)]
+
+
+def test_late_rows_of_a_stream_equal_the_batch(spark, tmp_path, rocksdb):
+    events = table(spark, DATA, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    arrived = events.select("event_id", F.lit(1).alias("source"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") * 1000 + F.col("k") * 5000).alias("arrival"))
+    arrived = arrived.unionByName(arrived.limit(3).withColumns({"ts": F.lit(None).cast("timestamp"), "event_id": F.col("event_id") + 10_000}))
+    path, quarter = str(tmp_path / "in"), arrived.count() // 4
+    numbered = arrived.orderBy("arrival", "event_id").collect()
+    for i in range(0, len(numbered), quarter):
+        spark.createDataFrame(numbered[i : i + quarter], arrived.schema).coalesce(1).write.mode("append").parquet(path)
+    scan = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = rows(run(state.late_state(scan, ["source"], ["arrival", "event_id"], "ts", "6 hours"), "late", "append", tmp_path), "event_id", "seen_until")
+    want = rows(ops.late_events(arrived, "arrival", "ts", "6 hours", tie="event_id"), "event_id", "seen_until")
+    assert got and got == want
+
+
+def test_rolling_stream_equals_the_batch_over_closed_windows(spark, feed, tmp_path, rocksdb):
+    """The delay covers the disorder; the last windows stay open, so the batch is held to those the watermark has passed."""
+    counts = ops.windowed_counts(events_of(spark, feed, "3 hours"), "ts", ["event_type"], "value", "1 hour")
+    got = rows(run(state.rolling_state(counts, ["event_type"], "window_start", "n_events", 6, 1.0), "rolling", "append", tmp_path),
+               "event_type", F.col("window_start").cast("timestamp_ntz"), F.round("z", 6))
+    events = table(spark, DATA, "events")
+    last = events.agg(F.max("ts")).first()[0]
+    batch = ops.windowed_counts(events, "ts", ["event_type"], "value", "1 hour").where(F.col("window_end") <= F.lit(last - dt.timedelta(hours=3)).cast("timestamp_ntz"))
+    want = rows(ops.rolling_anomalies(batch, ["event_type"], "window_start", "n_events", 6, 1.0), "event_type", "window_start", F.round("z", 6))
+    assert got and got == want
+
+
+def test_all_followers_of_a_stream_equal_the_batch(spark, feed, tmp_path):
+    pick = lambda df, kind: df.where(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    columns = {"event_id": "other", "ts": "then"}
+    streamed = ops.followers_within(pick(events_of(spark, feed), "error"), pick(events_of(spark, feed), "purchase"), "user_id", "ts", columns, "6 hours")
+    events = table(spark, DATA, "events")
+    batch = ops.followers_within(pick(events, "error"), pick(events, "purchase"), "user_id", "ts", columns, "6 hours")
+    got = rows(run(streamed, "followers", "append", tmp_path), "event_id", "other")
+    assert got and got == rows(batch, "event_id", "other")

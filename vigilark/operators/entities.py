@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigilark.functions.numeric import min_max, ratio, weighted_mean, z_score
 from vigilark.plans.chunked import value_ranks
 from vigilark.plans.keyed import join_null_safe
+from vigilark.plans.rounds import sized
 
 
 def attach_hierarchy(entities: DataFrame, levels: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -50,7 +51,28 @@ def normalise_metric(df: DataFrame, peers: Sequence[str], metric: str, chunks: i
         z_score(value, F.col("mean"), F.col("deviation")).alias(f"{metric}_z_score"),
         F.coalesce(ratio(F.col("n_below"), F.col("n_total") - 1), F.lit(0.0)).alias(f"{metric}_pct_rank"),
     )
-    return join_null_safe(df, scores, [*peers, metric], "left")
+    # Written: Spark then joins two plain shuffles if it is large, and splits a value that many rows share.
+    return join_null_safe(df, sized(scores), [*peers, metric], "left")
+
+
+def normalise_metrics(df: DataFrame, key: str, peers: Sequence[str], metrics: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """The scores of ``normalise_metric`` for several metrics from one pass: key, and per metric its three scores.
+
+    The metrics become rows, are ranked together within (peers, metric), and one join brings the scores back; the input
+    is read the same number of times whatever the number of metrics. ``key`` is unique; a null metric has null scores.
+    """
+    long = df.select(key, *peers, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([key, *peers], list(metrics), "_metric", "_value")
+    groups = [*peers, "_metric"]
+    scores = value_ranks(long, groups, "_value", chunks).select(
+        *groups,
+        "_value",
+        min_max(F.col("_value"), F.col("lowest"), F.col("highest")).alias("min_max"),
+        z_score(F.col("_value"), F.col("mean"), F.col("deviation")).alias("z_score"),
+        F.coalesce(ratio(F.col("n_below"), F.col("n_total") - 1), F.lit(0.0)).alias("pct_rank"),
+    )
+    found = join_null_safe(long, sized(scores), [*groups, "_value"], "left")
+    kinds = ("min_max", "z_score", "pct_rank")
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("_metric") == m, F.col(k))).alias(f"{m}_{k}") for m in metrics for k in kinds])
 
 
 def composite_score(df: DataFrame, weights: dict[str, float], name: str = "score") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from vigilark.functions.temporal import interval
+from vigilark.functions.temporal import interval, micros, micros_of
 from vigilark.plans.chunked import (
     CHUNK,
     IS_ROW,
@@ -63,9 +63,8 @@ def windowed_counts(
 def sessions(df: DataFrame, user: str, time: str, value: str, gap: str, chunks: int | None = None) -> DataFrame:
     """Sessions by inactivity gap (batch or stream); an event exactly ``gap`` later still belongs.
 
-    In batch, sessions are first built per user and chunk of time, then those that touch are
-    merged. Sessions of a user lie more than a gap apart, so what is merged per user is at most
-    the time span over the gap plus one piece per chunk, however many events there are.
+    In batch, sessions are first built per user and chunk of time. Only the first and the last of a chunk can reach into
+    another chunk; the rest are final as they are, and at most two rows per user and chunk are merged.
     """
     found = [F.count("*").alias("n_events"), F.sum(value).alias("total_value")]
     window = F.session_window(time, gap).alias("_session")
@@ -85,17 +84,24 @@ def sessions(df: DataFrame, user: str, time: str, value: str, gap: str, chunks:
         in_chunks(df, time, chunks)
         .groupBy(user, CHUNK, window)
         .agg(*found)
-        .select(user, F.col("_session.start").alias("_start"), F.col("_session.end").alias("_end"), "n_events", "total_value")
+        .select(user, CHUNK, F.col("_session.start").alias("_start"), F.col("_session.end").alias("_end"), "n_events", "total_value")
     )
+    inside = Window.partitionBy(user, CHUNK).orderBy("_start")
+    edge = F.lag("_start").over(inside).isNull() | F.lead("_start").over(inside).isNull()
+    marked = pieces.withColumn("_edge", edge)
     by_start = Window.partitionBy(user).orderBy("_start")
     opens = F.coalesce(F.col("_start") > F.lag("_end").over(by_start), F.lit(True))
-    numbered = pieces.withColumn("_opens", opens.cast("int")).withColumn("_number", F.sum("_opens").over(by_start))
-    return numbered.groupBy(user, "_number").agg(
+    numbered = marked.where("_edge").withColumn("_opens", opens.cast("int")).withColumn("_number", F.sum("_opens").over(by_start))
+    merged = numbered.groupBy(user, "_number").agg(
         F.min("_start").alias("session_start"),
         F.max("_end").alias("session_end"),
         F.sum("n_events").alias("n_events"),
         F.sum("total_value").alias("total_value"),
     ).drop("_number")
+    final = marked.where("not _edge").select(
+        user, F.col("_start").alias("session_start"), F.col("_end").alias("session_end"), "n_events", "total_value"
+    )
+    return merged.unionByName(final)
 
 
 def threshold_alerts(
@@ -178,6 +184,31 @@ def as_of(
     )
 
 
+def followers_within(
+    left: DataFrame, right: DataFrame, key: str, time: str, columns: dict[str, str], within: str
+) -> DataFrame:
+    """Every left row with every right row of its key from its time on to ``within`` later, both ends included (batch or stream).
+
+    ``columns`` maps right columns to their new names. Time is cut into buckets as long as the span: a right row is in
+    one, a left row looks into its own and the next, and the join is on key and bucket. So a hot key is as many join keys
+    as there are buckets, and no row meets one that is more than two spans away. Rows without key or time have no
+    followers. In a stream both sides carry a watermark on ``time``, and state is kept for the span and the delay.
+    """
+    span = micros_of(within)
+    bucket = lambda df: F.floor(micros(df, time) / F.lit(span)).cast("bigint")
+    if span <= 0:
+        raise ValueError(f"the span must be longer than nothing, not {within!r}")
+    ahead = left.withColumn("_bucket", F.explode(F.array(bucket(left), bucket(left) + 1)))
+    names = {c: n for c, n in columns.items() if c not in (key, time)}
+    later = right.select(
+        F.col(key).alias("_key"), F.col(time).alias("_time"), bucket(right).alias("_place"), *[F.col(c).alias(n) for c, n in names.items()]
+    )
+    near = (F.col("_time") >= F.col(time)) & (F.col("_time") <= F.col(time) + interval(within))
+    joined = ahead.join(later, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_place")) & near)
+    repeated = {n: F.col("_key" if c == key else "_time") for c, n in columns.items() if c in (key, time)}
+    return joined.withColumns(repeated).select(*left.columns, *columns.values())
+
+
 def enrich(df: DataFrame, users: DataFrame, key: str) -> DataFrame:
     """Join a table with one row per key to events (batch or stream); unknown keys stay."""
     return df.join(users, key, "left")

@@ -184,8 +184,8 @@ def _supplier_scores(spark: SparkSession, d: str) -> DataFrame:
     metrics = _suppliers(spark, d).join(returned, F.col("l_suppkey") == F.col("s_suppkey"), "left").select(
         "s_suppkey", "r_name", "s_acctbal", "returned"
     )
-    by_balance = ops.normalise_metric(metrics, peers, "s_acctbal")
-    both = ops.normalise_metric(by_balance, peers, "returned")
+    scored = ops.normalise_metrics(metrics, "s_suppkey", peers, ["s_acctbal", "returned"])
+    both = metrics.join(scored, "s_suppkey")
     return ops.composite_score(both, {"s_acctbal_min_max": 0.4, "returned_min_max": 0.6})
 
 
@@ -262,13 +262,13 @@ def chosen_sets(spark: SparkSession, d: str) -> DataFrame:
 def weighted_exposure(spark: SparkSession, d: str) -> DataFrame:
     """Spend-weighted supplier score per customer segment."""
     scores = _supplier_scores(spark, d).select("s_suppkey", "score")
+    # The fact is reduced by order and supplier before it is joined, and meets orders that already know their segment.
+    spend = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_extendedprice").alias("spend"))
+    segments = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
     facts = (
-        table(spark, d, "lineitem")
-        .select("l_orderkey", "l_suppkey", "l_extendedprice")
-        .join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        spend.join(segments, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("c_mktsegment", "l_suppkey")
-        .agg(F.sum("l_extendedprice").alias("spend"))
+        .agg(F.sum("spend").alias("spend"))
         .join(scores, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     )
     return ops.weighted_exposure(facts, ["c_mktsegment"], "spend", "score").select(

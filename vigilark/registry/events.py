@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilark.functions import hooks
 from vigilark.operators import events as ops
+from vigilark.operators import profiles
 from vigilark.plans.rounds import sized
 from vigilark.registry import query
 from vigilark.sources.tables import table
@@ -286,3 +287,31 @@ def user_table_function(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(
         "SELECT e.event_id, t.name, t.text FROM {events} e, LATERAL json_entries(e.props) t", events=events
     )
+
+
+@query(
+    """
+    SELECT e.event_id, e.user_id, e.ts, p.event_id AS purchase_id, p.ts AS purchase_ts
+    FROM events e JOIN events p ON e.user_id = p.user_id AND p.ts BETWEEN e.ts AND e.ts + INTERVAL 6 HOUR
+    WHERE e.event_type = 'error' AND p.event_type = 'purchase'
+    """
+)
+def all_followers(spark: SparkSession, d: str) -> DataFrame:
+    """Errors with every purchase of the user within 6 hours."""
+    events = _events(spark, d)
+    errors, buys = _of_type(events, "error").drop("value"), _of_type(events, "purchase")
+    return ops.followers_within(errors, buys, "user_id", "ts", {"event_id": "purchase_id", "ts": "purchase_ts"}, "6 hours")
+
+
+@query(
+    """
+    SELECT event_type, fraction, CAST(count(value) AS BIGINT) AS n, TRUE AS within
+    FROM events, (VALUES (CAST(0.05 AS DOUBLE)), (0.5), (0.95)) AS f(fraction) GROUP BY event_type, fraction
+    """
+)
+def sketched_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """P16, mergeable: quantiles per type from daily sketches, and whether their true ranks are within the stated error."""
+    events = _events(spark, d).select("event_type", F.col("ts").cast("date").alias("day"), "value")
+    daily = profiles.quantile_sketches(events, ["event_type", "day"], "value")
+    found = profiles.sketched_quantiles(profiles.merge_quantile_sketches(daily, ["event_type"]), ["event_type"], [0.05, 0.5, 0.95])
+    return profiles.rank_errors(events, ["event_type"], "value", found)

@@ -200,3 +200,19 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
 def vector_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of cosine 0.3 or more, up to ten for every fiftieth, by sign keys; recall is tested."""
     return neighbours.similar(table(spark, d, "embeddings"), "vec_id", "embedding", VECTOR_LENGTH, F.col("vec_id") % 50 == 0, 10, 0.3)
+
+
+@query(
+    """
+    WITH t AS (
+        SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY conv_id
+    ), p AS (
+        SELECT conv_id, whole, unnest(range(0, CAST(ceil(length(whole) / 1000.0) AS BIGINT))) AS part FROM t
+    )
+    SELECT conv_id, part, substring(whole, part * 1000 + 1, 1000) AS text FROM p
+    """
+)
+def transcript_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written out in order, in parts of a thousand characters."""
+    said = F.concat("role", F.lit(": "), "text")
+    return threads.transcript_parts(table(spark, d, "conversations"), "conv_id", "turn", "role", said, 1000)

@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType, TimestampType
 
-from vigilark.functions.temporal import event_time
+from vigilark.functions.temporal import event_time, micros_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -197,3 +197,79 @@ def followed_state(
         outputMode="append",
         timeMode="eventTime",
     )
+
+
+class LateProcessor(StatefulProcessor):
+    """Rows more than ``delay`` behind the latest time that arrived before them; one time per key is held."""
+
+    def __init__(self, arrival: Sequence[str], time: str, delay: pd.Timedelta):
+        self.arrival, self.time, self.delay = list(arrival), time, delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "nanos long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.latest.get()
+        batch = pd.concat(list(rows)).sort_values(self.arrival, kind="stable")
+        times = batch[self.time]
+        first = pd.Series([pd.NaT if held is None else pd.Timestamp(held[0], tz=times.dt.tz)], dtype=times.dtype)
+        upto = pd.concat([first, times]).cummax().ffill()
+        seen = upto.iloc[:-1].set_axis(batch.index)
+        late = (times < seen - self.delay).to_numpy()
+        if late.any():
+            yield batch[late].assign(seen_until=seen[late])
+        if pd.notna(upto.iloc[-1]):
+            self.latest.update((upto.iloc[-1].value,))
+
+    def close(self) -> None:
+        pass
+
+
+def late_state(df: DataFrame, keys: Sequence[str], arrival: Sequence[str], time: str, delay: str) -> DataFrame:
+    """Streaming form of ``late_events``: late rows with ``seen_until``, as rows of their own where Spark would drop them silently.
+
+    Lateness is judged per key, such as a device or a source, against the latest time that arrived before; within a
+    micro-batch rows arrive in the order of ``arrival``. The input has no watermark, which would drop the very rows that are
+    asked for, and its times are timestamps with zone. Rows without a time are never late. Needs ``ROCKSDB`` as the store.
+    """
+    output = StructType([*df.schema.fields, StructField("seen_until", TimestampType())])
+    return df.groupBy(*keys).transformWithStateInPandas(
+        LateProcessor(arrival, time, pd.Timedelta(microseconds=micros_of(delay))), outputStructType=output, outputMode="append", timeMode="none"
+    )
+
+
+class RollingProcessor(StatefulProcessor):
+    """Each closed window against the ``rows`` before it of its group, which are held as a list."""
+
+    def __init__(self, time: str, value: str, rows: int, least_z: float):
+        self.time, self.value, self.rows, self.least_z = time, value, rows, least_z
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [r[0] for r in self.ring.get()]
+        batch = pd.concat(list(rows)).sort_values(self.time)
+        run = pd.Series(held + batch[self.value].astype(float).tolist())
+        before = run.shift(1).rolling(self.rows, min_periods=1)
+        spread = before.std()
+        z = ((run - before.mean()) / spread.where(spread > 0))[len(held) :].to_numpy()
+        high = np.flatnonzero(np.round(z, 9) >= self.least_z)
+        if len(high):
+            yield batch.iloc[high].assign(z=z[high])
+        self.ring.put([(float(v),) for v in run.iloc[-self.rows :]])
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_state(counts: DataFrame, groups: Sequence[str], time: str, value: str, rows: int, least_z: float) -> DataFrame:
+    """Streaming form of ``rolling_anomalies`` over a stream of windowed counts in append mode.
+
+    The counts come when the watermark closes their windows, so a group's windows arrive in order, late events counted;
+    the ring of the last ``rows`` values is all that is held per group. Needs ``ROCKSDB`` as the store.
+    """
+    output = StructType([*counts.schema.fields, StructField("z", DoubleType())])
+    return counts.groupBy(*groups).transformWithStateInPandas(
+        RollingProcessor(time, value, rows, least_z), outputStructType=output, outputMode="append", timeMode="none"
+    )

@@ -84,3 +84,19 @@ def test_reruns_agree_and_empty(spark):
     total = apportion.mix(docs).agg(F.sum("size").alias("a"), F.sum("taken").alias("b")).first()
     assert abs(total["a"] - total["b"]) <= 0.02 * total["a"]
     assert apportion.mix(docs.limit(0)).collect() == []
+
+
+def test_many_small_sources_get_their_share(spark):
+    rng = random.Random(9)
+    sizes = {f"s{i:04}": rng.randrange(5, 51) for i in range(400)} | {"large": 20_000}
+    rows = [(i, " ".join(f"w{j}" for j in range(n // 2 + n % 2 * k)), s, "x", "y") for i, (s, n) in enumerate(sizes.items()) for k in (0, 1)]
+    got = apportion.mix(docs_of(spark, rows), keep=("source",)).collect()
+    found = {}
+    for _, t, s, *_ in rows:
+        found[s] = found.get(s, 0) + len(t.split())
+    want, taken = water_fill(found, (5, 2, 1), 3), dict.fromkeys(found, 0)
+    for r in got:
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - float(want[s])) <= max(1.01, 0.02 * float(want[s])) for s in taken)
+    assert sum(taken.values()) >= 0.99 * sum(found.values())

@@ -96,6 +96,7 @@ def mix(
     weights: Sequence[float] = (5, 2, 1),
     stop: float = 3,
     block_words: int = 64,
+    few_blocks: int = 64,
     shard_words: int = 500_000,
     seed: int = 7,
     keep: Sequence[str] = (),
@@ -103,15 +104,16 @@ def mix(
     """What a mix takes of every row.
 
     Rows are dealt by a seeded hash to shards of a source and laid on a line there; the line is cut
-    into equal blocks of about ``block_words``. Sainte-Laguë quotients give the number of blocks
-    for each source by its target, then for each shard by its words. In a shard the
+    into equal blocks of about ``block_words``; a source whose size or target is under ``few_blocks`` of these is dealt by
+    single words, so that small sources get their share too. Sainte-Laguë quotients give the number of blocks
+    for each source by its target, among the sources of equal blocks, then for each shard by its words. In a shard the
     quota is spread evenly over the blocks from a seeded start, so a block is taken at most
     ``stop`` times. A hot source has more shards, not larger ones.
 
     Returns ``key``, the columns ``keep``, size, source_size, target, taken (words taken,
     repeats counted) and ``spans``: arrays of (times, start, end) in words of the row, in order. A null or
     blank text has size 0 and nothing is taken; a null source is a source of its own. Repeated
-    rows are rows of their own. Other columns are ignored. Reruns agree.
+    rows are rows of their own; equal keys and texts are laid by the columns ``keep``. Other columns are ignored. Reruns agree.
     """
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     place = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
@@ -121,18 +123,24 @@ def mix(
     narrow = sized(base.select("_key", "source", "size", "_place"))
     found = sized(narrow.groupBy("source").agg(F.sum("size").alias("source_size")))
     aims = sized(targets(found, weights, stop).withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))))
-    with_shard = lambda df: join_null_safe(df, aims.drop("weight"), ["source"]).withColumn("shard", F.pmod(F.col("_place"), F.col("shards")))
-    cells = with_shard(narrow).groupBy("source", "shard").agg(F.sum("size").alias("words"), F.max("target").alias("target"))
-    blocks = F.when(F.col("words") > 0, F.greatest(F.round(F.col("words") / block_words).cast("long"), F.lit(1))).otherwise(0)
+    with_shard = lambda df: join_null_safe(df, aims.drop("weight", "most"), ["source"]).withColumn("shard", F.pmod(F.col("_place"), F.col("shards")))
+    small = F.least(F.col("source_size").cast("double"), F.col("target")) < few_blocks * block_words
+    aims = aims.withColumn("unit", F.when(small, 1).otherwise(block_words))
+    cells = with_shard(narrow).groupBy("source", "shard").agg(F.sum("size").alias("words"), F.max("target").alias("target"), F.max("unit").alias("unit"))
+    blocks = F.when(F.col("words") > 0, F.greatest(F.round(F.col("words") / F.col("unit")).cast("long"), F.lit(1))).otherwise(0)
     cells = sized(cells.withColumn("blocks", blocks))
-    per_source = cells.groupBy("source").agg(F.max("target").alias("target"), (F.sum("blocks") * int(stop)).alias("most"))
-    total = found.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("x")).first()["x"]
-    dealt = sainte_lague(per_source.withColumn("seats", F.lit(round(total / block_words))), [], ["source"], "target", "seats", "most")
-    cells = join_null_safe(cells.drop("target"), dealt.select("source", F.col("quota").alias("seats")), ["source"])
+    per_source = sized(cells.groupBy("source").agg(F.max("target").alias("target"), (F.sum("blocks") * int(stop)).alias("most"), F.max("unit").alias("unit")))
+    dealt = None
+    for unit in (1, block_words):
+        alike = per_source.where(F.col("unit") == unit)
+        seats = alike.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("x")).first()["x"] / unit
+        quotas = sainte_lague(alike.withColumn("seats", F.lit(round(seats))), [], ["source"], "target", "seats", "most")
+        dealt = dealt.unionByName(quotas) if dealt else quotas
+    cells = join_null_safe(cells.drop("target", "unit"), dealt.select("source", F.col("quota").alias("seats")), ["source"])
     cells = cells.withColumns({"most": F.col("blocks") * int(stop), "weight": F.col("words").cast("double")})
     cells = sized(sainte_lague(cells, ["source"], ["shard"], "weight", "seats", "most").select("source", "shard", "words", "blocks", "quota"))
-    line = Window.partitionBy("source", "shard").orderBy("_place", "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = with_shard(base if keep else narrow).withColumn("_end", F.sum("size").over(line)).withColumn("_start", F.col("_end") - F.col("size"))
+    line = Window.partitionBy("source", "shard").orderBy("_place", "_key", *[f"_keep_{c}" for c in keep]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = with_shard(base if keep else narrow).drop("unit").withColumn("_end", F.sum("size").over(line)).withColumn("_start", F.col("_end") - F.col("size"))
     laid = join_null_safe(laid, cells, ["source", "shard"])
     n, c, q = F.col("blocks"), F.col("words"), F.col("quota")
     turn = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), n)

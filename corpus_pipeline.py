@@ -27,8 +27,10 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail the rules are cut out; rejected documents go."""
-    kept = clean_lines(docs, keep=("lang", "source")).where("kept")
-    return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
+    judged = clean_lines(docs, keep=("lang", "source")).select("doc_id", "clean_text", "lang", "source", "kept")
+    # One element each: Spark would push the verdict through a projection and judge every line again for it.
+    once = judged.select(F.inline(F.array(F.struct("*"))))
+    return once.where("kept").select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

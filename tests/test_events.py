@@ -184,3 +184,11 @@ def test_only_the_borders_of_a_chunk_are_merged(spark):
     assert rows(got, "session_start", "n_events") == [tuple(w) for w in want] and len(want) > 500
     plan = got._jdf.queryExecution().analyzed().toString()
     assert "_edge" in plan
+
+
+def test_more_than_one_json_value_is_malformed(spark):
+    wrong = ['{"k":1} {"k":2}', '{"k":1} xyz}', '{"k":1}}', "7 8", '{"k":1}] {}', '{"k":1}, "b":2', '{"k":1}, 2', '{"k":1}} {', "1, null", '"a" "b"']
+    right = ['{"k":1}', ' {"k": "}"} ', "[1, 2]", "7", "null", '{"k":{"k":[{}]}}', '"a, b"']
+    df = spark.createDataFrame([(x,) for x in wrong + right], "p string")
+    got = {r["p"]: r["malformed"] for r in ops.parse_props(df, "p", {"z": "bigint"}).collect()}
+    assert got == {x: x in wrong for x in wrong + right}

@@ -53,3 +53,8 @@ def test_upsert_is_idempotent_and_keeps_the_newer(spark):
     want = [(None, "new"), (1, "new"), (2, "new"), (3, "old"), (4, "new")]
     assert rows(once, "k", "v") == want
     assert rows(ops.upsert_latest(once, new, ["k"], "version"), "k", "v") == want
+
+
+def test_periods_that_are_not_listed_are_other(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 9, 3.0), ("a", None, 4.0)], "g string, p int, v double")
+    assert rows(ops.pivot_periods(df, ["g"], F.col("p"), [1], "v"), "g", "p_1", "p_other") == [("a", 2.0, 7.0)]

@@ -36,9 +36,10 @@ def parse_props(df: DataFrame, props: str, fields: dict[str, str]) -> DataFrame:
     wrong = F.lit(False)
     for name in fields:
         wrong = wrong | (raw[name].isNotNull() & typed[name].isNull())
-    text = F.trim(F.col(props))
-    cut = (text.startswith("{") & ~text.endswith("}")) | (text.startswith("[") & ~text.endswith("]"))
-    not_json = F.col(props).isNotNull() & (F.try_parse_json(F.col(props)).isNull() | cut)
+    # Spark's parser stops after the first value. One value alone is also one as the only element and as the only member;
+    # what follows it cannot be both.
+    within = lambda a, b: F.try_parse_json(F.concat(F.lit(a), F.col(props), F.lit(b))).isNull()
+    not_json = F.col(props).isNotNull() & (within("[", "]") | within('{"a":', "}"))
     return df.withColumns({**typed, "malformed": not_json | wrong})
 
 

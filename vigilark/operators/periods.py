@@ -38,13 +38,18 @@ def period_change(facts: DataFrame, groups: Sequence[str], time: str, amount: st
 def pivot_periods(
     facts: DataFrame, groups: Sequence[str], period: Column, periods: Sequence[int], amount: str
 ) -> DataFrame:
-    """One column per listed period. Listing them saves a pass over the data to find them."""
+    """One column per listed period, and ``p_other`` for the rest and for no period.
+
+    Listing them saves a pass over the data to find them; what is not listed is seen in ``p_other``.
+    """
+    listed = F.col("_period").isin(list(periods))
     return (
         facts.select(*groups, amount, period.alias("_period"))
+        .withColumn("_period", F.when(listed, F.col("_period").cast("string")).otherwise("other"))
         .groupBy(*groups)
-        .pivot("_period", list(periods))
+        .pivot("_period", [*map(str, periods), "other"])
         .agg(F.sum(amount))
-        .withColumnsRenamed({str(p): f"p_{p}" for p in periods})
+        .withColumnsRenamed({str(p): f"p_{p}" for p in [*periods, "other"]})
     )
 
 

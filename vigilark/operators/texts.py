@@ -27,17 +27,16 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 def dictionary_tags(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """Hits and weighted score per row and tag, for a dictionary of (term, tag, weight).
 
-    Words are counted per row first, so a frequent word travels once per row at most; how the dictionary is joined is Spark's choice.
+    Words meet the dictionary before anything is counted: Spark sends a small dictionary to the words and shuffles hits only;
+    of a large one it shuffles both sides and splits a frequent word.
     """
-    hits = term_counts(df, key, text).join(dictionary, "term")
-    return hits.groupBy(key, "tag").agg(
-        F.sum("n").alias("n_hits"), F.sum(F.col("n") * F.col("weight")).alias("score")
-    )
+    hits = exploded_words(df, key, text).join(dictionary, "term")
+    return hits.groupBy(key, "tag").agg(F.count("*").alias("n_hits"), F.sum("weight").alias("score"))
 
 
 def tf_idf_terms(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """The ``k`` terms with the highest tf × ln((N + 1) / (df + 1)) per row."""
-    tf = term_counts(df, key, text)
+    tf = sized(term_counts(df, key, text))  # used twice: the texts are taken apart once
     # Written, so that Spark knows its size and, if it is large, joins two plain shuffles, whose hot terms it splits.
     frequency = sized(tf.groupBy("term").agg(F.count("*").alias("df")))
     n_texts = df.agg(F.count("*")).scalar()

@@ -23,8 +23,9 @@ def _of_length(vector: str, length: int) -> Column:
 
 def group_centroids(df: DataFrame, groups: Sequence[str], vector: str, length: int) -> DataFrame:
     """Mean vector per group, as one aggregate per position: no row is multiplied. Null vectors are left out of the means."""
-    at = lambda i: F.avg(F.get(_of_length(vector, length), F.lit(i)).cast("double"))
-    return df.groupBy(*groups).agg(
+    checked = df.where(_of_length(vector, length).isNotNull() | F.col(vector).isNull())  # once per row
+    at = lambda i: F.avg(F.get(vector, F.lit(i)).cast("double"))
+    return checked.groupBy(*groups).agg(
         F.count("*").alias("n_members"), F.array(*[at(i) for i in range(length)]).alias("centroid")
     )
 
@@ -51,8 +52,8 @@ def centroid_outliers(
     df: DataFrame, key: str, groups: Sequence[str], vector: str, length: int, fraction: float
 ) -> DataFrame:
     """Vectors whose distance to their centroid exceeds the given quantile of their group."""
-    scored = similarity_to_centroid(df, key, groups, vector, length).select(
-        key, *groups, F.round(1 - F.col("similarity"), 9).alias("distance")
+    scored = sized(
+        similarity_to_centroid(df, key, groups, vector, length).select(key, *groups, F.round(1 - F.col("similarity"), 9).alias("distance"))
     )
     bounds = quantile_profile(scored, groups, "distance", [fraction])
     bounds = sized(bounds.select(*groups, F.round("quantile", 9).alias("bound")))

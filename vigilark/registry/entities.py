@@ -61,13 +61,17 @@ def _in_period(facts: DataFrame, start: str, end: str) -> DataFrame:
         UNION ALL
         SELECT 'o_orderpriority', count(*), count(o_orderpriority), min(o_orderpriority), max(o_orderpriority)
         FROM orders
+        UNION ALL
+        SELECT 'o_totalprice', count(*), count(o_totalprice), printf('%.2f', min(o_totalprice)), printf('%.2f', max(o_totalprice)) FROM orders
+        UNION ALL
+        SELECT 'o_orderdate', count(*), count(o_orderdate), CAST(min(o_orderdate) AS VARCHAR), CAST(max(o_orderdate) AS VARCHAR) FROM orders
     )
     """
 )
 def checked_scan_profile(spark: SparkSession, d: str) -> DataFrame:
     """A scan held to its schema, and what its columns hold."""
     orders = checked_scan(spark, f"{d}/orders.parquet", schema_of("orders"))
-    return profiles.column_profile(orders, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    return profiles.column_profile(orders.withColumn("o_totalprice", exact(F.col("o_totalprice"))), orders.columns)
 
 
 @query(
@@ -362,15 +366,14 @@ def distinct_sketch(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """
     SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(count(*) AS BIGINT) AS n_reports,
-           CAST(count(DISTINCT (l_partkey, l_suppkey, l_quantity)) AS BIGINT) AS n_versions
+           CAST(count(DISTINCT (l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)) AS BIGINT) AS n_versions
     FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
     """
 )
 def repeated_keys(spark: SparkSession, d: str) -> DataFrame:
     """P19 re-aimed at facts: lines reported more than once under one key."""
-    repeated = ops.repeated_keys(
-        table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity"]
-    )
+    lines, keys = table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]
+    repeated = ops.repeated_keys(lines, keys, [c for c in lines.columns if c not in keys])
     return repeated.withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
 
 

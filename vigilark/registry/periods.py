@@ -42,7 +42,7 @@ def _by_year(spark: SparkSession, d: str) -> DataFrame:
     pivoted = ops.pivot_periods(
         table(spark, d, "orders"), ["o_orderpriority"], F.year("o_orderdate"), YEARS, "o_totalprice"
     )
-    return pivoted.select("o_orderpriority", *[F.round(f"p_{y}", 2).alias(f"p_{y}") for y in YEARS])
+    return pivoted.select("o_orderpriority", *[F.round(f"p_{y}", 2).alias(f"p_{y}") for y in [*YEARS, "other"]])
 
 
 @query(
@@ -50,6 +50,7 @@ def _by_year(spark: SparkSession, d: str) -> DataFrame:
     + ", ".join(
         f"round(sum(o_totalprice) FILTER (WHERE year(o_orderdate) = {y}), 2) AS p_{y}" for y in YEARS
     )
+    + f", round(sum(o_totalprice) FILTER (WHERE coalesce(year(o_orderdate) NOT IN ({', '.join(map(str, YEARS))}), TRUE)), 2) AS p_other"
     + " FROM orders GROUP BY o_orderpriority"
 )
 def pivot_periods(spark: SparkSession, d: str) -> DataFrame:

@@ -50,10 +50,13 @@ def stream_scan(
     path: str,
     declared: StructType,
     format: str = "parquet",
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = 100,
     **options: str,
 ) -> DataFrame:
-    """A streaming scan of the files that arrive in a folder."""
+    """A streaming scan of the files that arrive in a folder.
+
+    ``files_per_batch`` bounds what a micro-batch brings, and so the rows of a key that a stateful operator orders; None takes all.
+    """
     reader = spark.readStream.schema(declared).format(format).options(**options)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

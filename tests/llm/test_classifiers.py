@@ -103,3 +103,22 @@ def test_interactions_are_learned():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     model = additive.AdditiveModel(x[:3000], y[:3000])
     assert np.mean((model.score(x[3000:]) > 0.5) == y[3000:]) > 0.9 and (0, 1) in model.pairs
+
+
+def test_articles_are_not_lost_to_markup_around_them(spark):
+    words = " ".join(["plain words that make up a story"] * 8) + "."
+    story, menu = f"<p>{words}</p><p>{words}</p>", "<nav><a href=x>Home</a> <a href=y>News</a></nav>"
+    side, said = "<aside><p>Other things to buy today and here.</p></aside>", f"<div class='comments'><article class='comment'><p>{words} I say.</p></article></div>"
+    pages = {
+        1: f"<html><head><title>T</title></head><body class='single has-sidebar'>{menu}<article>{story}</article>{side}</body></html>",
+        2: f"<body>{menu}<div class='layout with-sidebar'><article>{story}</article>{side}</div></body>",
+        3: f"<html><head><title>T</title><meta x><script>var a = '<div>';</script><body>{menu}<article>{story}</article></body></html>",
+        4: f"<body>{menu}<noscript><article>{story}</article></body>",
+        5: f"<body>{menu}<aside>Small note.<article>{story}</article></body>",
+        6: f"<body class='sidebar'><div id='page-sidebar-layout'>{menu}<main class='sidebar'>{story}</main>{side}</div></body>",
+        7: f"<body>{menu}<article>{story}</article>{said}</body>",
+    }
+    df = spark.createDataFrame([(k, "u", p) for k, p in pages.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_blocks.main_texts(df).collect()}
+    for k in pages:
+        assert got[k].replace("Small note.\n", "") == f"{words}\n{words}", (k, got[k])

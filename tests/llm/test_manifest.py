@@ -7,8 +7,9 @@ from zlib import crc32
 import pytest
 from pyspark.sql import functions as F
 
+from compare import connect, difference
 from vigilark.llm import manifest as m
-from vigilark.llm.registry import QUERIES
+from vigilark.llm.registry import QUERIES, SQL
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -87,7 +88,8 @@ def test_append_log_has_the_nodes_where_the_closed_form_says():
             assert m.fold(leaves[i], m.siblings(log, i, n, len(levels) - 1)) == levels[-1][0]
 
 
-def test_the_query_equals_the_plain_version(spark):
+def test_the_query_equals_the_plain_version_and_sql(spark):
+    assert difference(QUERIES["op12_merkle_manifest"](spark, "/root/testdata/sf0.01"), connect("/root/testdata/sf0.01"), SQL["op12_merkle_manifest"]) is None
     rows = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     got = found(QUERIES["op12_merkle_manifest"](spark, "/root/testdata/sf0.01"))
     assert got == plain(rows)

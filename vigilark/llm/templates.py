@@ -72,37 +72,49 @@ def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, slot, row
 
 
+def _as_is(token: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Tokens as they stand, lower-cased; unlike any template's."""
+    return np.where(slot != 0, slot, token) ^ np.uint64(0x5A5A5A5A)
+
+
 def _windows(size: int, literal: int, bloom: np.ndarray | None):
-    """Windows with ``literal`` tokens or more outside slots, and only those that ``bloom`` may hold."""
+    """Windows of the template (form 0) with ``literal`` tokens or more outside slots, and of the tokens as they stand (form 1).
+
+    Only those that ``bloom`` may hold, if it is given.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             token, slot, row = canonical(part.column("text"))
             n = len(token) - size + 1
-            at = np.flatnonzero(row[:n] == row[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
+            places = np.flatnonzero(row[:n] == row[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
             plain = np.r_[0, np.cumsum(slot == 0)]
-            at = at[plain[at + size] - plain[at] >= literal]
-            value = np.zeros(len(at), np.uint64)
-            for k in range(size):
-                value += token[at + k] * _PLACE[k]
-            value = mix(value)
-            if bloom is not None:
-                bit = value & np.uint64(BLOOM_BITS - 1)
-                hit = (bloom[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                at, value = at[hit], value[hit]
             head = np.searchsorted(row, np.arange(part.num_rows))
-            owner = row[at]
-            slots = slot[at[:, None] + np.arange(size)[None, :]].view(np.int64) if len(at) else np.zeros((0, size), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("id").take(pa.array(owner)),
-                    part.column("text_hash").take(pa.array(owner)),
-                    pa.array((at - head[owner]).astype(np.int64)),
-                    pa.array(value.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(at) + 1, size, dtype=np.int32)), pa.array(slots.ravel())),
-                ],
-                names=["id", "text_hash", "at", "window", "slots"],
-            )
+            for form in (0, 1):
+                at = places[plain[places + size] - plain[places] >= literal] if form == 0 else places
+                tokens = token if form == 0 else _as_is(token, slot)
+                value = np.zeros(len(at), np.uint64)
+                for k in range(size):
+                    value += tokens[at + k] * _PLACE[k]
+                value = mix(value)
+                if bloom is not None:
+                    bit = value & np.uint64(BLOOM_BITS - 1)
+                    hit = (bloom[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                    at, value = at[hit], value[hit]
+                owner = row[at]
+                width = size if form == 0 else 0
+                slots = slot[at[:, None] + np.arange(width)[None, :]].view(np.int64).ravel() if width and len(at) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id").take(pa.array(owner)),
+                        part.column("text_hash").take(pa.array(owner)),
+                        pa.array((at - head[owner]).astype(np.int64)),
+                        pa.array(value.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * width).astype(np.int32)), pa.array(slots)),
+                        pa.array(np.full(len(at), form, np.int32)),
+                    ],
+                    names=["id", "text_hash", "at", "window", "slots", "form"],
+                )
 
     return run
 
@@ -116,8 +128,8 @@ def _runs_of(token: np.ndarray, long: int) -> np.ndarray:
     return mix((total[long:] - total[:-long]) * np.multiply.accumulate(back)[: n - long + 1] + np.uint64(long))
 
 
-def _whole_items(literal: int, kinds: list[tuple[int, bool]] | None = None, bloom: np.ndarray | None = None):
-    """Of benchmark items one window of all tokens as they stand and, with ``literal`` tokens outside slots, one of the template.
+def _whole_items(literal: int, fewest: int, kinds: list[tuple[int, bool]] | None = None, bloom: np.ndarray | None = None):
+    """Of benchmark items of ``fewest`` tokens or more one window of all tokens as they stand and, with ``literal`` tokens outside slots, one of the template.
 
     With ``kinds``, the windows of those lengths that ``bloom`` may hold, of all places of documents.
     """
@@ -125,11 +137,11 @@ def _whole_items(literal: int, kinds: list[tuple[int, bool]] | None = None, bloo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             token, slot, row = canonical(part.column("text"))
-            as_is = np.where(slot != 0, slot, token) ^ np.uint64(0x5A5A5A5A)
+            as_is = _as_is(token, slot)
             plain = np.r_[0, np.cumsum(slot == 0)]
             head = np.searchsorted(row, np.arange(part.num_rows))
             tokens = np.bincount(row, minlength=part.num_rows)
-            for long, template in kinds if kinds is not None else [(int(x), t) for x in np.unique(tokens) if x for t in (False, True)]:
+            for long, template in kinds if kinds is not None else [(int(x), t) for x in np.unique(tokens) if x >= fewest for t in (False, True)]:
                 if long > len(token):
                     continue
                 value = _runs_of(token if template else as_is, long)
@@ -166,12 +178,12 @@ def _hashed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _template_rows(df: DataFrame, key: str, text: str, size: int, literal: int, bloom: np.ndarray | None = None) -> DataFrame:
     kind = dict(df.dtypes)[key]
-    return _hashed(df, key, text).mapInArrow(_windows(size, literal, bloom), f"id {kind}, text_hash long, at long, window long, slots array<long>")
+    return _hashed(df, key, text).mapInArrow(_windows(size, literal, bloom), f"id {kind}, text_hash long, at long, window long, slots array<long>, form int")
 
 
-def _whole_rows(df: DataFrame, key: str, text: str, literal: int, kinds: list[tuple[int, bool]] | None = None, bloom: np.ndarray | None = None) -> DataFrame:
+def _whole_rows(df: DataFrame, key: str, text: str, literal: int, fewest: int, kinds: list[tuple[int, bool]] | None = None, bloom: np.ndarray | None = None) -> DataFrame:
     schema = f"id {dict(df.dtypes)[key]}, text_hash long, at long, window long, slots array<long>, long long, template boolean"
-    return _hashed(df, key, text).mapInArrow(_whole_items(literal, kinds, bloom), schema)
+    return _hashed(df, key, text).mapInArrow(_whole_items(literal, fewest, kinds, bloom), schema)
 
 
 def template_matches(
@@ -184,6 +196,7 @@ def template_matches(
     literal: int = 4,
     least: float = 0.5,
     consistent: float = 0.8,
+    fewest: int = 3,
 ) -> DataFrame:
     """Documents that hold ``least`` or more of the template windows of a benchmark item, with consistent slots.
 
@@ -196,8 +209,11 @@ def template_matches(
     Every occurrence is judged by itself, and a document matches if any is covered and consistent. Windows are of one occurrence if
     their place in the document less that in the item is the same, or lies in the same range of 2 ``size`` (of two sets of ranges, so that
     a shift of up to ``size`` always lies in one); the whole document is judged as well. The best accepted occurrence is returned.
-    An item without such windows (short, or with few literals) is one window: all its tokens as they stand, whatever their case and without a
+    Windows of the tokens as they stand, whatever their case, are a second form of an item: a copy in capitals, where each word looks like a name,
+    is covered by these, and nothing is asked of its slots. A match is the better of the two forms.
+    An item without template windows (short, or with few literals) is one window: all its tokens as they stand, whatever their case and without a
     slot check, or all its template if that has ``literal`` tokens outside placeholders. Documents are hashed once for each length of such items.
+    An item of under ``fewest`` tokens ("Yes", "42") is in every other text and is not looked for; ``not_checkable`` lists such items.
 
     Returns ``key``, text_hash (``xxhash64`` of the text), ``item``, n_windows (distinct windows of the item that were found), item_windows,
     coverage, n_slots (distinct slot values matched), n_consistent and exact (every slot holds the item's own value). Null and
@@ -206,22 +222,24 @@ def template_matches(
     """
     same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
     usual = sized(_template_rows(benchmark, item, text, size, literal).distinct())
-    whole = _whole_rows(benchmark, item, text, literal).distinct()
-    whole = sized(whole.join(usual, same(whole, usual, ["id", "text_hash"]), "left_anti"))
+    whole = _whole_rows(benchmark, item, text, literal, fewest).distinct()
+    templates = usual.where("form = 0").select("id", "text_hash")
+    whole = sized(whole.join(templates, same(whole, templates, ["id", "text_hash"]), "left_anti").withColumn("form", F.lit(0)))
     kinds = sorted((r["long"], r["template"]) for r in whole.select("long", "template").distinct().collect())
-    windows = usual.unionByName(whole.drop("long", "template"))
+    windows = usual.unionByName(whole.drop("long", "template"))  # a short item has no windows as it stands but the whole one
     bit = F.col("window").bitwiseAND(BLOOM_BITS - 1)
     words = windows.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(window & 63 as int))")).alias("bits")).collect()
     bloom = np.zeros(BLOOM_BITS // 64, np.uint64)
     bloom[[r["w"] for r in words]] = np.array([r["bits"] for r in words], np.int64).view(np.uint64)
     found = _template_rows(docs, key, text, size, literal, bloom)
     if kinds:
-        found = found.unionByName(_whole_rows(docs, key, text, literal, kinds, bloom).drop("long", "template"))
-    its = windows.select(F.col("id").alias("_item"), F.col("text_hash").alias("_item_hash"), F.col("at").alias("_at"), "window", F.col("slots").alias("_slots"))
-    both = found.join(its, "window").select(
-        "id", "text_hash", "_item", "_item_hash", "_at", (F.col("at") - F.col("_at")).alias("place"), F.filter(F.arrays_zip("_slots", "slots"), lambda x: x["_slots"] != 0).alias("pairs")
+        found = found.unionByName(_whole_rows(docs, key, text, literal, fewest, kinds, bloom).drop("long", "template").withColumn("form", F.lit(0)))
+    its = windows.select(F.col("id").alias("_item"), F.col("text_hash").alias("_item_hash"), F.col("at").alias("_at"), "window", "form", F.col("slots").alias("_slots"))
+    both = found.join(its, ["window", "form"]).select(
+        "id", "text_hash", "_item", "_item_hash", "form", "_at", (F.col("at") - F.col("_at")).alias("place"), F.filter(F.arrays_zip("_slots", "slots"), lambda x: x["_slots"] != 0).alias("pairs")
     )
-    each = ["id", "text_hash", "_item", "_item_hash"]
+    match = ["id", "text_hash", "_item", "_item_hash"]
+    each = [*match, "form"]
     by = [*each, "level", "part"]
     place, wide = F.col("place"), 2 * size
     parts = [F.lit(0).cast("long"), place, F.floor(place / wide), F.floor((place + size) / wide)]
@@ -231,14 +249,26 @@ def template_matches(
     values = both.select(*by, F.explode("pairs").alias("p")).select(*by, F.col("p._slots").alias("a"), F.col("p.slots").alias("b"))
     values = values.distinct().groupBy(*by, "a").agg(F.count("*").alias("n"), F.min(F.col("a") == F.col("b")).alias("same"))
     values = values.groupBy(*by).agg(F.count("*").alias("n_slots"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("n_consistent"), F.min(F.col("same") & (F.col("n") == 1)).alias("exact"))
-    total = windows.groupBy(F.col("id").alias("_item"), F.col("text_hash").alias("_item_hash")).agg(F.countDistinct("at").alias("item_windows"))
-    first = covered.alias("c").join(total.alias("t"), same(covered, total, ["_item", "_item_hash"])).select(*[covered[c] for c in by], "n_windows", "item_windows")
+    total = windows.groupBy(F.col("id").alias("_item"), F.col("text_hash").alias("_item_hash"), "form").agg(F.countDistinct("at").alias("item_windows"))
+    first = covered.alias("c").join(total.alias("t"), same(covered, total, ["_item", "_item_hash", "form"])).select(*[covered[c] for c in by], "n_windows", "item_windows")
     out = first.join(values, same(first, values, by), "left").select(
         *[first[c] for c in by], "n_windows", "item_windows", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_slots", "n_consistent")], F.coalesce("exact", F.lit(True)).alias("exact")
     )
     coverage = F.col("n_windows") / F.col("item_windows")
     accepted = out.where((coverage >= least) & (F.col("n_consistent") >= consistent * F.col("n_slots")))
-    best = accepted.groupBy(*each).agg(F.max(F.struct("exact", "n_windows", "n_consistent", (-F.col("n_slots")).alias("_fewest"), "n_slots", "item_windows")).alias("best")).select(*each, "best.*")
+    best = accepted.groupBy(*match).agg(F.max(F.struct("exact", coverage.alias("_coverage"), "n_windows", "n_consistent", (-F.col("n_slots")).alias("_fewest"), "n_slots", "item_windows")).alias("best")).select(*match, "best.*")
     return best.select(
         F.col("id").alias(key), "text_hash", F.col("_item").alias(item), "n_windows", "item_windows", coverage.alias("coverage"), "n_slots", "n_consistent", "exact"
     )
+
+
+def not_checkable(benchmark: DataFrame, item: str = "item_id", text: str = "text", fewest: int = 3) -> DataFrame:
+    """The items (``item``, ``text``) of under ``fewest`` tokens, none included: ``template_matches`` does not look for them."""
+    tokens = _hashed(benchmark, item, text).mapInArrow(_token_counts, f"id {dict(benchmark.dtypes)[item]}, text string, n long")
+    return tokens.where(F.col("n") < fewest).select(F.col("id").alias(item), F.col("text").alias(text))
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text", 1 << 20):
+        counts = np.bincount(canonical(part.column("text"))[2], minlength=part.num_rows)
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.array(counts.astype(np.int64))], names=["id", "text", "n"])

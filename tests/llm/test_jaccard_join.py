@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from vigilark.llm.jaccard_join import jaccard_join
+from vigilark.llm.jaccard_join import jaccard_join, runs_for
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -98,3 +98,29 @@ def test_isolated_pairs_of_short_texts_are_all_found(spark):
     found = got(spark, rows)
     assert [r for r in found if r[1] == 0] == []
     assert found == brute(rows)
+
+
+def test_runs_follow_the_recall_asked_for():
+    assert [runs_for(r, 0.8) for r in (0.9, 0.99999, 0.999999)] == sorted(runs_for(r, 0.8) for r in (0.9, 0.99999, 0.999999))
+    assert runs_for(0.99999, 0.8) == 5 and runs_for(0.9, 0.8) == 1
+    with pytest.raises(ValueError):
+        runs_for(0.9, 0.3)
+
+
+def test_families_with_parts_of_their_own(spark):
+    rng = random.Random(5)
+    frame, long = words(rng, 9), words(rng, 60)
+    misses = [(i, " ".join(frame + [f"end{i}"])) for i in range(2600)]  # 5 of 7 shingles: no links
+    tails = [(10_000 + i, " ".join(long + [f"end{i}"])) for i in range(1300)]  # 56 of 58: all linked
+    tails += [(20_000 + i, " ".join(long + [f"end{i}"])) for i in range(5)]  # copies
+    bridge = [(30_000, " ".join(long[:50])), (30_001, " ".join(long[:50] + long[55:]))]
+    rows = misses + tails + bridge
+    assert got(spark, rows, block_sets=300) == brute(rows)
+
+
+def test_blocks_are_bounded_by_sets(spark):
+    rng = random.Random(6)
+    base = words(rng, 40)
+    rows = [(i, " ".join(base[: i % 30] + [f"v{i % 7}"] + base[i % 30 + 1 :])) for i in range(400)]
+    rows += [(1000 + i, " ".join(base[: i % 30] + [f"u{i}"] + base[i % 30 + 1 :])) for i in range(200)]
+    assert got(spark, rows, block_sets=25) == brute(rows)

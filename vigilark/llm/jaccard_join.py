@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +198,24 @@ def _candidates(sets: DataFrame, runs: int, branch: int, limit: int, least: floa
     return sized(out.distinct())  # read more than once by the grouping that follows
 
 
+def runs_for(recall: float, threshold: float, branch: int = 2) -> int:
+    """The fewest runs that put a pair at ``threshold`` in one small bucket with the chance ``recall``.
+
+    A run loses a pair whose sketches agree in a share p of the entries with the chance q = (1 - p + pq) ** branch at
+    most, however deep it splits; the runs share the sketches, so this is averaged over all p. Raises
+    ``ValueError`` where no number of runs reaches it, as ``branch`` is too small for the threshold.
+    """
+    agree = np.arange(WIDTH + 1) / WIDTH
+    chance = np.array([comb(WIDTH, k) * threshold**k * (1 - threshold) ** (WIDTH - k) for k in range(WIDTH + 1)])
+    lost = np.zeros(WIDTH + 1)
+    for _ in range(1000):
+        lost = (1 - agree + agree * lost) ** branch
+    for runs in range(1, 65):
+        if chance @ lost**runs <= 1 - recall:
+            return runs
+    raise ValueError(f"recall {recall} at {threshold} is not reached by 64 runs of {branch} branches")
+
+
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections of every left with every right set, by products of 0/1 blocks."""
     if len(left) == len(right) == 1:
@@ -209,7 +228,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     token, owner = many[token[keep]], owner[keep]
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    out = np.zeros((len(left), len(right)), np.float64)
+    out = np.zeros((len(left), len(right)), np.float32)  # exact: a block holds far under 2^24 shingles of one set, or one set
     for low in range(0, int(token[-1]) + 1 if len(token) else 0, columns):
         a, b = np.searchsorted(token, [low, low + columns])
         block = np.zeros((len(left) + len(right), columns), np.float32)
@@ -233,19 +252,83 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(waiting)
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per set and shingle, about ``PIECE`` * 16 rows or one set at a time."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        ends = np.cumsum([len(x) for x in sets])
+        at = 0
+        while at < len(sets):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 16 * PIECE, "right")))
+            each = np.repeat(np.arange(at, end), [len(x) for x in sets[at:end]])
+            columns = [batch.column("blob").take(each), batch.column("set_id").take(each), pa.array(np.concatenate(sets[at:end]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["blob", "set_id", "token"])
+            at = end
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of tokens as bytes."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
+        packed = pa.array([flat[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+        names = [n for n in batch.schema.names if n != "tokens"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), packed], names=[*names, "shingles"])
+
+
+def _forms(large: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The forms that the sets of large groups take, and which set has which form.
+
+    A shingle that one set of its group alone holds is in no intersection. Sets of one length that hold the same other
+    shingles are of one form: they have the same similarity to any other set, and all or none of them are linked
+    to each other (``own``). So a family of texts that differ in parts of their own is compared as one.
+    """
+    tokens = large.select("blob", "set_id", "shingles").mapInArrow(_tokens, "blob long, set_id long, token long")
+    common = sized(tokens.groupBy("blob", "token").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    held = tokens.join(common, ["blob", "token"]).groupBy("set_id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    described = sized(
+        large.drop("shingles", "blocks")
+        .join(held, "set_id")
+        .withColumn("h1", F.xxhash64("tokens"))
+        .withColumn("h2", F.xxhash64(F.lit(1), "tokens"))
+    )
+    key = ["blob", "n_shingles", "h1", "h2"]
+    forms = sized(described.groupBy(*key).agg(F.min("set_id").alias("form"), F.sum("copies").alias("all_copies")))
+    members = described.drop("tokens").join(forms, key).select("set_id", "form", "copies", "all_copies")
+    heads = described.join(forms.select(F.col("form").alias("set_id"), "all_copies"), "set_id")
+    size = F.size("tokens")
+    own = size >= threshold * (2 * F.col("n_shingles") - size) - 1e-9
+    heads = heads.select("blob", "set_id", F.col("all_copies").alias("copies"), "n_shingles", own.alias("own"), "tokens")
+    packed = heads.mapInArrow(_packed, "blob long, set_id long, copies long, n_shingles int, own boolean, shingles binary")
+    return sized(packed), members
+
+
+def _blocks(shingles: int, sets: int):
+    """In how many blocks the sets of a group are compared."""
+    return F.greatest(F.ceil(F.sum(F.octet_length("shingles") / 8) / shingles), F.ceil(F.count("*") / sets)).cast("int").alias("blocks")
+
+
+def _pairs_of_blocks(sets: DataFrame) -> DataFrame:
+    """Each set of a group of B blocks once for every pair of blocks that its own is in."""
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    both = sets.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    return both.select(F.xxhash64("blob", low, high).alias("key"), "set_id", "copies", "n_shingles", "shingles", side.alias("side"))
+
+
 def _verified(threshold: float):
     """Exact similarities inside each key: per set its linked rows and the least set it is tied to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             group = group.sort_by("set_id")
-            ids, side, copies = (group.column(c).to_numpy() for c in ("set_id", "side", "copies"))
+            ids, side, copies, long = (group.column(c).to_numpy() for c in ("set_id", "side", "copies", "n_shingles"))
             sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
             left = np.flatnonzero(side <= 1)
             right = left if (side == 0).any() else np.flatnonzero(side == 2)
             if not len(left) or not len(right):
                 continue
-            long = np.array([len(x) for x in sets])
             shared = shared_counts([sets[i] for i in left], [sets[i] for i in right])
             either = long[left][:, None] + long[right][None, :] - shared
             link = shared >= threshold * either - 1e-9
@@ -276,10 +359,12 @@ def jaccard_join(
     text: str = "text",
     threshold: float = 0.8,
     shingle: int = 5,
-    runs: int = 5,
+    runs: int | None = None,
     branch: int = 2,
     bucket_limit: int = 32,
     block_shingles: int = 200_000,
+    recall: float = 0.99999,
+    block_sets: int = 1024,
 ) -> DataFrame:
     """Links between texts whose sets of word shingles have Jaccard similarity ``threshold`` or more.
 
@@ -287,11 +372,13 @@ def jaccard_join(
     128 min-hashes; the sets are split by the values of two sampled entries, large buckets are
     split again, and small buckets are compared by sketch. A bucket that no longer shrinks is
     taken as alike as a whole. A pair at 0.8 whose sketches agree in 0.8 of the entries misses one run with a
-    chance of 0.07 at most, at any depth. The runs share the sketches, so over all sketches of such a pair five runs miss about
-    7 in 10^6, and fewer of more similar pairs; comparing sketches of small buckets, with ``SLACK``, adds about one in 10^12. This holds for
+    chance of 0.07 at most, at any depth. There are as many runs as ``recall`` needs (``runs_for``; ``runs`` sets another number): five
+    for the default, which miss about 7 in 10^6, and fewer of more similar pairs; comparing sketches of small buckets, with ``SLACK``, adds about one in 10^12. This holds for
     sets of any size. The candidates only say which sets are compared:
     sets tied by them, directly or through others, are compared exactly, each pair once, in
-    blocks of about ``block_shingles``. No pairs are written: each block gives counts and one tie per set.
+    blocks of about ``block_shingles`` shingles and ``block_sets`` sets at most, which bounds a task's memory. In a group of more than
+    a block, sets that differ only in shingles of their own are compared as one (``_forms``), so that a family of
+    texts with a common frame costs its size, not its square. No pairs are written: each block gives counts and one tie per set.
 
     Returns ``key``, ``set_id`` (equal for equal shingle sets), ``n_shingles``, ``n_links`` (other
     rows linked to this one, copies counted) and ``class_id``, the least ``key`` of all rows tied
@@ -312,13 +399,12 @@ def jaccard_join(
         .select("set_id", "copies", "n_shingles", "low", "high", F.col("head.doc").alias("doc"), F.col("head.text_hash").alias("text_hash")),
         "set_id",
     )
-    edges = _candidates(sets, runs, branch, bucket_limit, threshold - SLACK)
+    edges = _candidates(sets, runs or runs_for(recall, threshold, branch), branch, bucket_limit, threshold - SLACK)
     blobs = sized(
         linked_groups(edges, "a", "b")
         .withColumnsRenamed({"entity": "set_id", "group_id": "blob"})
         .join(sets.select("set_id", "copies", "n_shingles", "doc", "text_hash"), "set_id")
     )
-    sizes = sized(blobs.groupBy("blob").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("blocks")))
     wanted = blobs.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("set_id").alias("wanted"))
     # Merged at every size: broadcasting the few wanted rows of a small input would only hide what a large one moves.
     texts = rows.join(wanted.hint("merge"), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
@@ -328,27 +414,25 @@ def jaccard_join(
         .groupBy("set_id")
         .agg(F.first("shingles").alias("shingles"))
     )
-    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    placed = (
-        blobs.select("set_id", "blob", "copies")
-        .join(sizes, "blob")
-        .join(shingles, "set_id")
-        .withColumn("block", block)
-        .withColumn("other", other)
-        .select(
-            F.xxhash64("blob", low, high).alias("key"),
-            "set_id",
-            "copies",
-            "shingles",
-            F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-        )
-    )
+    whole = sized(blobs.select("set_id", "blob", "copies", "n_shingles").join(shingles, "set_id"))
+    cut = _blocks(block_shingles, block_sets)
+    whole = whole.join(sized(whole.groupBy("blob").agg(cut)), "blob")
+    forms, members = _forms(whole.where("blocks > 1"), threshold)
+    compared = _pairs_of_blocks(forms.join(sized(forms.groupBy("blob").agg(cut)), "blob")).unionByName(_pairs_of_blocks(whole.where("blocks = 1")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    verified = sized(
-        placed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_verified(threshold), "set_id long, root long, links long")
+    found = sized(
+        compared.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_verified(threshold), "set_id long, root long, links long")
+    )
+    # What holds for a form holds for each of its sets; sets of one form are tied if linked to each other or to another set.
+    outer = found.groupBy(F.col("set_id").alias("form")).agg(F.sum("links").alias("outer"))
+    own = F.when(F.col("own"), F.col("all_copies") - F.col("copies")).otherwise(0)
+    each = (
+        members.join(forms.select(F.col("set_id").alias("form"), "own"), "form")
+        .join(outer, "form", "left")
+        .select("set_id", F.col("form").alias("root"), F.when(F.col("set_id") == F.col("form"), own).otherwise(own + F.coalesce("outer", F.lit(0))).cast("long").alias("links"))
+        .where("links > 0")
     )
+    verified = sized(found.unionByName(each))
     links = verified.groupBy("set_id").agg(F.sum("links").alias("links"))
     tied = linked_groups(verified, "set_id", "root").withColumnsRenamed({"entity": "set_id", "group_id": "group"})
     known = sets.select("set_id", "copies", "doc").join(links, "set_id", "left").join(tied, "set_id", "left")

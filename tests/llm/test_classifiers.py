@@ -32,6 +32,27 @@ def test_phrases_are_those_of_a_plain_search():
     assert got.tolist() == [[greedy(t, samples[l]) for t in texts] for l in ("x", "y")]
 
 
+def test_long_texts_are_parsed_whole():
+    rng = random.Random(2)
+    make = lambda n, k: bytes(rng.choice(b"abcd "[:k]) for _ in range(n))
+    samples = {"x": make(11_000, 3), "y": make(400, 5) + b"ababa"}
+    parser = cross_parsing.Parser(samples)
+    texts = [samples["x"][500:10_500], make(10_000, 3), make(6_000, 5), b"ab" * 2_500, b"z" * 2_000, samples["x"][:3_000] + b"z" + samples["x"][:3_000], b"a"]
+    got = parser.phrases(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])])
+    assert got.tolist() == [[greedy(t, samples[l]) for t in texts] for l in ("x", "y")]
+    assert got[0, 0] == 1
+
+
+def test_copies_do_not_fill_a_language(spark):
+    rng = random.Random(4)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(60))
+    one = make("klm")
+    rows = [(i, one, "p") for i in range(300)] + [(1000 + i, make("abc"), "p") for i in range(20)] + [(2000 + i, make("xyzabc"), "q") for i in range(20)]
+    df = spark.createDataFrame(rows + [(3000 + i, make("abc"), None) for i in range(5)], "doc_id long, text string, lang string")
+    got = cross_parsing.languages(df, F.col("doc_id") >= 3000).where("held_out").collect()
+    assert {r["lang_pred"] for r in got} == {"p"} and len(got) == 5
+
+
 def test_normalised_rows():
     raw = pa.array(["  Ab, c!", "", None, "ÉTÉ 12 ß", " . "])
     flat, ends = cross_parsing.normalised(*cross_parsing.text_buffer(raw))

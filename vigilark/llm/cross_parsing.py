@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.llm.hashing import LOWER, slices, text_buffer
+from vigilark.plans.rounds import sized
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -98,7 +99,9 @@ class Parser:
     def phrases(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """How many phrases each row falls into by each language: the longest known string again and again.
 
-        Rows are parsed in segments of ``SEGMENT`` bytes, all side by side.
+        Pieces of ``SEGMENT`` bytes are first parsed side by side, each as if a phrase began with it. Then each is
+        parsed again from the state in which the piece before it ends, up to the first byte at which a phrase begins
+        either way: from there on both are the same. Where no such byte comes, the piece after it follows in another round.
         """
         sizes = np.diff(ends)
         many = np.maximum(-(-sizes // SEGMENT), 1)
@@ -106,25 +109,74 @@ class Parser:
         part = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
         start = ends[:-1][owner] + part * SEGMENT
         long = np.minimum(sizes[owner] - part * SEGMENT, SEGMENT)
-        order = np.argsort(-long, kind="stable")
-        owner, start, long = owner[order], start[order], long[order]
         symbols = self.symbol[flat]
-        root = np.array(self.roots, np.int64)[:, None]
-        state = np.full((len(root), len(owner)), self.dead, np.int64)
-        count = np.zeros((len(root), len(owner)), np.int64)
-        for j in range(int(long[0]) if len(long) else 0):
-            a = int(np.searchsorted(-long, -j, "left"))  # segments longer than j
-            own = symbols[start[:a] + j]
-            move = self.table[state[:, :a] * self.width + own]
-            lost = move < 0
-            count[:, :a] += lost
-            again = self.table[root * self.width + own[None, :]]
-            state[:, :a] = np.where(lost, np.where(again < 0, self.dead, again), move)
-        out = np.zeros((len(root), len(sizes)), np.int64)
-        for k in range(len(root)):
+        alone, end, begun = self._alone(symbols, start, long)
+        count, alone_end = alone.copy(), end.copy()
+        entered = np.full(end.shape, self.dead, np.int64)
+        follow = np.flatnonzero(part > 0)
+        first_round = True
+        while True:
+            language, piece = np.nonzero(entered[:, follow] != end[:, follow - 1])
+            if not len(piece):
+                break
+            piece = follow[piece]
+            if not first_round:  # the first of each row and language: all before it are as they should be
+                new = np.r_[True, (language[1:] != language[:-1]) | (owner[piece[1:]] != owner[piece[:-1]])]
+                language, piece = language[new], piece[new]
+            first_round = False
+            state = entered[language, piece] = end[language, piece - 1]
+            more, last = self._joined(symbols, begun, state, language, start[piece], long[piece], alone_end[language, piece])
+            count[language, piece] = alone[language, piece] + more
+            end[language, piece] = last
+        out = np.zeros((len(self.roots), len(sizes)), np.int64)
+        for k in range(len(out)):
             out[k] = np.bincount(owner, count[k], len(sizes))
         return out
 
+    def _step(self, state: np.ndarray, root: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more byte, and where a phrase begins with it."""
+        move = self.table[state * self.width + own]
+        begins = move < 0
+        again = self.table[root * self.width + own]
+        return np.where(begins, np.where(again < 0, self.dead, again), move), begins
+
+    def _alone(self, symbols: np.ndarray, start: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases and last state of each piece by each language, and the bytes at which phrases begin."""
+        order = np.argsort(-long, kind="stable")
+        start, long = start[order], long[order]
+        root = np.array(self.roots, np.int64)[:, None]
+        state = np.full((len(root), len(start)), self.dead, np.int64)
+        count = np.zeros((len(root), len(start)), np.int64)
+        begun = np.zeros((len(root), len(symbols)), bool)
+        for j in range(int(long[0]) if len(long) else 0):
+            a = int(np.searchsorted(-long, -j, "left"))  # pieces longer than j
+            state[:, :a], begins = self._step(state[:, :a], root, symbols[start[:a] + j][None, :])
+            count[:, :a] += begins
+            begun[:, start[:a] + j] = begins
+        back = np.argsort(order)
+        return count[:, back], state[:, back], begun
+
+    def _joined(self, symbols, begun, state, language, start, long, alone_end) -> tuple[np.ndarray, np.ndarray]:
+        """How many phrases more than alone each piece has if entered in ``state``, and its last state then."""
+        root = np.array(self.roots, np.int64)[language]
+        more, last = np.zeros(len(start), np.int64), alone_end.copy()
+        open_ = np.arange(len(start))
+        for j in range(int(long.max())):
+            over = long[open_] <= j
+            if over.any():
+                last[open_[over]] = state[over]
+                open_, state = open_[~over], state[~over]
+            if not len(open_):
+                break
+            at = start[open_] + j
+            state, begins = self._step(state, root[open_], symbols[at])
+            before = begun[language[open_], at]
+            more[open_] += begins.astype(np.int64) - before
+            apart = ~(begins & before)
+            open_, state = open_[apart], state[apart]
+        last[open_] = state
+        return more, last
+
 
 _parsers: dict[int, Parser] = {}
 
@@ -171,24 +223,29 @@ def languages(
     sample_bytes: int = 20_000,
     total_bytes: int = 200_000,
     sample_docs: int = 64,
+    piece_chars: int = 4000,
 ) -> DataFrame:
     """``key``, held_out, lang_pred, score and bits_per_byte of every row.
 
-    Of each language at most ``sample_docs`` labelled rows with ``held_out`` false, those of the least hash of
-    their text, give at most ``sample_bytes`` bytes in equal parts (``total_bytes`` for all languages together): this sample is
-    all that is learned. Its suffix automaton tells the longest strings of a text that the language knows; the
+    Of each language at most ``sample_docs`` distinct texts of labelled rows with ``held_out`` false, those of the least hash,
+    give at most ``sample_bytes`` bytes in equal parts (``total_bytes`` for all languages together), each from a piece of at most
+    ``piece_chars`` characters at an offset drawn from the text's hash: this sample is all that is learned. Its suffix automaton tells the longest strings of a text that the language knows; the
     number of such phrases times log2 of the sample's size is the text's cross-entropy, and the least wins, the first by
     name in a tie. ``score`` is the share of the second best in the sum of both best (0.5 to 1).
 
     A null text or one without a letter is ``und`` with score 0, and so is all if nothing is labelled. Texts are parsed
-    whole. Null keys and repeated rows keep their rows; other columns are ignored.
+    whole: a phrase may be as long as the sample. Null keys and repeated rows keep their rows; other columns are ignored.
     """
     import random
 
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(lang).alias("lang"))
-    known = rows.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("lang", F.substring("text", 1, 4000).alias("text"), F.xxhash64("text").alias("h"))
-    first = known.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample_docs)
+    known = rows.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    # Hashes are ranked without their texts: one row per distinct text is shuffled.
+    ranked = known.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    offset = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - piece_chars + 1, F.lit(1)).cast("long")).cast("int") + 1
+    piece = F.substring("text", offset, F.lit(piece_chars)).alias("text")
+    first = known.join(sized(ranked.where(F.col("k") <= sample_docs)), ["lang", "h"]).groupBy("lang", "k").agg(F.min(piece).alias("text"))
     texts: dict[str, list[str]] = {}
     for r in first.orderBy("lang", "k").select("lang", "text").toArrow().to_pylist():
         texts.setdefault(r["lang"], []).append(r["text"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -126,10 +127,26 @@ def _children(branch: int):
     return run
 
 
+def _ties(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fewest pairs that connect what ``pairs`` connect: each id and the least one tied to it."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(ids))
+    changed = True
+    while changed:
+        old = root.copy()
+        np.minimum.at(root, a, old[b])
+        np.minimum.at(root, b, old[a])
+        root = root[root]
+        changed = (old != root).any()
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[root[other]], ids[other]
+
+
 def _alike(limit: int, least: float):
-    """Pairs of one path whose sketches agree in ``least`` of their entries; rows come sorted by path.
+    """Ties between sets of one path whose sketches agree in ``least`` of their entries; rows come sorted by path.
 
-    A batch starts again with the last ``limit`` rows of the one before.
+    A batch starts again with the last ``limit`` rows of the one before, and gives as many ties as connect its pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +169,8 @@ def _alike(limit: int, least: float):
                     found.append(np.stack([ids[i], ids[i + d]]))
             tail = path[-limit:], ids[-limit:], sketch[-limit:]
             if found:
-                pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                a, b = _ties(np.concatenate(found, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -173,7 +190,7 @@ def _candidates(sets: DataFrame, runs: int, branch: int, limit: int, least: floa
     bare = sets.select("set_id", "low", "high")
     roots = bare.withColumn("path", F.explode(F.array(*[F.lit(r + 1).cast("long") for r in range(runs)])))
     rows = sized(roots.withColumn("n", F.lit(None).cast("long")).mapInArrow(_children(branch), "path long, set_id long, above long"))
-    edges = []
+    small, edges = [], []
     while True:
         buckets = sized(
             rows.groupBy("path")
@@ -182,20 +199,17 @@ def _candidates(sets: DataFrame, runs: int, branch: int, limit: int, least: floa
             .withColumn("kind", F.when(F.col("n") <= limit, "small").when(F.col("n") > 0.6 * F.col("above"), "alike").otherwise("large"))
         )
         members = sized(rows.join(buckets.drop("above"), "path"))
-        in_small = members.where("kind = 'small'").join(sets.select("set_id", "low"), "set_id").select("path", "set_id", "low")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        edges.append(
-            in_small.repartition(parts, "path").sortWithinPartitions("path", "set_id").mapInArrow(_alike(limit, least), "a long, b long")
-        )
+        small.append(members.where("kind = 'small'").select("path", "set_id"))
         edges.append(members.where("kind = 'alike' and set_id <> root").select(F.col("root").alias("a"), F.col("set_id").alias("b")))
         large = members.where("kind = 'large'").select("path", "set_id", "n")
         if large.isEmpty():
             break
         rows = sized(large.join(bare, "set_id").select("path", "set_id", "n", "low", "high").mapInArrow(_children(branch), "path long, set_id long, above long"))
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return sized(out.distinct())  # read more than once by the grouping that follows
+    # The small buckets of all levels are compared in one pass: a path tells its level, too.
+    in_small = reduce(DataFrame.unionByName, small).join(sets.select("set_id", "low"), "set_id").select("path", "set_id", "low")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    compared = in_small.repartition(parts, "path").sortWithinPartitions("path", "set_id").mapInArrow(_alike(limit, least), "a long, b long")
+    return sized(reduce(DataFrame.unionByName, edges, compared))  # read more than once by the grouping that follows
 
 
 def runs_for(recall: float, threshold: float, branch: int = 2) -> int:
@@ -308,17 +322,17 @@ def _blocks(shingles: int, sets: int):
     return F.greatest(F.ceil(F.sum(F.octet_length("shingles") / 8) / shingles), F.ceil(F.count("*") / sets)).cast("int").alias("blocks")
 
 
-def _pairs_of_blocks(sets: DataFrame) -> DataFrame:
-    """Each set of a group of B blocks once for every pair of blocks that its own is in."""
+def _pairs_of_blocks(sets: DataFrame, whole: bool) -> DataFrame:
+    """Each set of a group of B blocks once for every pair of blocks that its own is in; ``whole`` if one block holds the group."""
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     low, high = F.least("block", "other"), F.greatest("block", "other")
     both = sets.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    return both.select(F.xxhash64("blob", low, high).alias("key"), "set_id", "copies", "n_shingles", "shingles", side.alias("side"))
+    return both.select(F.xxhash64("blob", low, high).alias("key"), "set_id", "copies", "n_shingles", "shingles", side.alias("side"), F.lit(whole).alias("whole"))
 
 
 def _verified(threshold: float):
-    """Exact similarities inside each key: per set its linked rows and the least set it is tied to."""
+    """Exact similarities inside each key: per set its linked rows and the least set it is tied to, directly or through others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
@@ -348,7 +362,8 @@ def _verified(threshold: float):
                 changed = (old != root).any()
             some = links > 0
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(links[some])], names=["set_id", "root", "links"])
+                columns = [pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(links[some]), pa.array(group.column("whole").to_numpy()[some])]
+                yield pa.RecordBatch.from_arrays(columns, names=["set_id", "root", "links", "whole"])
 
     return run
 
@@ -416,25 +431,34 @@ def jaccard_join(
     )
     whole = sized(blobs.select("set_id", "blob", "copies", "n_shingles").join(shingles, "set_id"))
     cut = _blocks(block_shingles, block_sets)
-    whole = whole.join(sized(whole.groupBy("blob").agg(cut)), "blob")
-    forms, members = _forms(whole.where("blocks > 1"), threshold)
-    compared = _pairs_of_blocks(forms.join(sized(forms.groupBy("blob").agg(cut)), "blob")).unionByName(_pairs_of_blocks(whole.where("blocks = 1")))
+    blocks = sized(whole.groupBy("blob").agg(cut))
+    compared = _pairs_of_blocks(whole.join(blocks.where("blocks = 1"), "blob"), True)
+    cut_up = blocks.where("blocks > 1")
+    some_cut = not cut_up.isEmpty()
+    if some_cut:
+        forms, members = _forms(whole.join(cut_up, "blob"), threshold)
+        compared = compared.unionByName(_pairs_of_blocks(forms.join(sized(forms.groupBy("blob").agg(cut)), "blob"), False))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = sized(
-        compared.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_verified(threshold), "set_id long, root long, links long")
-    )
-    # What holds for a form holds for each of its sets; sets of one form are tied if linked to each other or to another set.
-    outer = found.groupBy(F.col("set_id").alias("form")).agg(F.sum("links").alias("outer"))
-    own = F.when(F.col("own"), F.col("all_copies") - F.col("copies")).otherwise(0)
-    each = (
-        members.join(forms.select(F.col("set_id").alias("form"), "own"), "form")
-        .join(outer, "form", "left")
-        .select("set_id", F.col("form").alias("root"), F.when(F.col("set_id") == F.col("form"), own).otherwise(own + F.coalesce("outer", F.lit(0))).cast("long").alias("links"))
-        .where("links > 0")
+        compared.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_verified(threshold), "set_id long, root long, links long, whole boolean")
     )
-    verified = sized(found.unionByName(each))
+    # A group that one block held is tied already.
+    tied = found.where("whole").select("set_id", F.col("root").alias("group"))
+    verified = found.select("set_id", "root", "links")
+    if some_cut:
+        # What holds for a form holds for each of its sets; sets of one form are tied if linked to each other or to another set.
+        across = found.where("not whole").select("set_id", "root", "links")
+        outer = across.groupBy(F.col("set_id").alias("form")).agg(F.sum("links").alias("outer"))
+        own = F.when(F.col("own"), F.col("all_copies") - F.col("copies")).otherwise(0)
+        each = sized(
+            members.join(forms.select(F.col("set_id").alias("form"), "own"), "form")
+            .join(outer, "form", "left")
+            .select("set_id", F.col("form").alias("root"), F.when(F.col("set_id") == F.col("form"), own).otherwise(own + F.coalesce("outer", F.lit(0))).cast("long").alias("links"))
+            .where("links > 0")
+        )
+        tied = tied.unionByName(linked_groups(across.unionByName(each), "set_id", "root").withColumnsRenamed({"entity": "set_id", "group_id": "group"}))
+        verified = verified.unionByName(each)
     links = verified.groupBy("set_id").agg(F.sum("links").alias("links"))
-    tied = linked_groups(verified, "set_id", "root").withColumnsRenamed({"entity": "set_id", "group_id": "group"})
     known = sets.select("set_id", "copies", "doc").join(links, "set_id", "left").join(tied, "set_id", "left")
     known = sized(known.withColumn("group", F.coalesce("group", "set_id")))
     least = sized(known.groupBy("group").agg(F.min("doc").alias("class_id")))

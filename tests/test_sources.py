@@ -21,6 +21,27 @@ def test_checked_scan_names_what_is_wrong(spark, tmp_path):
     assert scan.checked_scan(spark, path, StructType.fromDDL("v string, k int")).columns == ["v", "k"]
 
 
+@pytest.mark.parametrize("format", ["parquet", "orc"])
+def test_every_file_is_held_to_the_schema(spark, tmp_path, format):
+    path = tmp_path / "many files"
+    for i in range(7):
+        spark.sql(f"SELECT {i}L AS k, {'5L' if i == 5 else repr('x')} AS v").write.format(format).save(f"{path}/d={i}")
+    with pytest.raises(scan.SchemaMismatch, match="d=5/.*: v: retyped, declared string, found bigint"):
+        scan.checked_scan(spark, str(path), SCHEMA, format)
+    name, differences = scan.first_differing_file(spark, str(path), SCHEMA, format)
+    assert "d=5" in name and differences == [("v", "retyped", "string", "bigint")]
+    only_k = StructType().add("k", "long")
+    assert scan.first_differing_file(spark, str(path), only_k, format) is None
+    assert rows(scan.checked_scan(spark, str(path), only_k, format)) == [(i,) for i in range(7)]
+
+
+def test_a_column_that_some_files_lack_is_null_there(spark, tmp_path):
+    path = str(tmp_path / "some")
+    spark.sql("SELECT 1L AS k").write.parquet(f"{path}/d=1")
+    spark.sql("SELECT 2L AS k, 'x' AS v").write.parquet(f"{path}/d=2")
+    assert rows(scan.checked_scan(spark, path, SCHEMA)) == [(1, None), (2, "x")]
+
+
 @pytest.mark.parametrize("format", ["parquet", "orc", "json", "csv"])
 def test_formats(spark, tmp_path, format):
     path = str(tmp_path / format)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from vigilark.operators import neighbours as m
+from vigilark.operators.entities import top_k_per_group
 from vigilark.registry import texts
 
 SHAPE = "id long, v array<float>"
@@ -110,3 +111,13 @@ def test_hot_buckets_are_parted(spark):
     # A vector of a hot bucket goes to a few smaller buckets, and no vector is lost.
     assert after < 0.8 * before, (before, after)
     assert parted.select("id").distinct().count() == 800
+
+
+def test_vectors_of_a_query_are_compared_as_matrices(spark, monkeypatch):
+    """Pair by pair in Spark's expressions, two million pairs take minutes."""
+    df = spark.createDataFrame([(i, [1.0, float(i), float(i * i % 7)]) for i in range(40)], SHAPE)
+    plans = []
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(m, "top_k_per_group", lambda d, *a: plans.append(plan(d)) or top_k_per_group(d, *a))
+    m.nearest(df, "id", "v", 3, F.col("id") % 5 == 0, 3)
+    assert sum("FlatMapCoGroupsInArrow" in p for p in plans) == 1

@@ -113,6 +113,18 @@ def test_hot_buckets_are_parted(spark):
     assert parted.select("id").distinct().count() == 800
 
 
+def test_blocks_of_queries_and_vectors_give_the_same(spark):
+    vectors = np.random.default_rng(5).standard_normal((600, 6)).astype(np.float32)
+    vectors[200:260] = vectors[0] * np.arange(1, 61)[:, None]  # other lengths: ties of distinct vectors
+    vectors[7] = np.nan
+    df = spark.createDataFrame([(f"{i:03}", v.tolist()) for i, v in enumerate(vectors)], "id string, v array<float>")
+    asks = F.col("id").cast("int") % 5 == 0
+    ids = [i for i in range(600) if i != 7]
+    for got, least in ((m.nearest(df, "id", "v", 6, asks, 6, part=50), -2.0), (m.similar(df, "id", "v", 6, asks, 6, 0.5), 0.5)):
+        assert got.schema["id"].dataType == df.schema["id"].dataType
+        same(answers(got.withColumns({c: F.col(c).cast("int") for c in ("id", "neighbour")})), brute(ids, vectors[ids], 6, least))
+
+
 def test_vectors_of_a_query_are_compared_as_matrices(spark, monkeypatch):
     """Pair by pair in Spark's expressions, two million pairs take minutes."""
     df = spark.createDataFrame([(i, [1.0, float(i), float(i * i % 7)]) for i in range(40)], SHAPE)
@@ -120,4 +132,19 @@ def test_vectors_of_a_query_are_compared_as_matrices(spark, monkeypatch):
     plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(m, "top_k_per_group", lambda d, *a: plans.append(plan(d)) or top_k_per_group(d, *a))
     m.nearest(df, "id", "v", 3, F.col("id") % 5 == 0, 3)
-    assert sum("FlatMapCoGroupsInArrow" in p for p in plans) == 1
+    m.similar(df, "id", "v", 3, F.col("id") % 5 == 0, 3, 0.3)
+    assert sum("FlatMapCoGroupsInArrow" in p for p in plans) == 2
+
+
+@pytest.mark.parametrize("limit", [4096, 250])
+def test_sign_keys_reach_their_recall_where_they_are_chosen(spark, limit):
+    vectors = clustered(1200, 12, 16, 0.35, 2)
+    vectors[300:700] = vectors[3] + 0.05 * np.random.default_rng(3).standard_normal((400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], SHAPE)
+    got = answers(m.similar(df, "id", "v", 16, F.col("id") % 5 == 0, 10, 0.8, 0.95, limit=limit, by_signs=True))
+    assert recall(got, brute(range(1200), vectors, 10, 0.8)) >= 0.9
+
+
+def test_keys_are_chosen_where_they_are_less_work():
+    assert not m.keys_pay(600_000, 12_000, 0.3, 0.975) and not m.keys_pay(10**9, 2 * 10**7, 0.3, 0.975)
+    assert m.keys_pay(10**7, 10**7, 0.9, 0.975)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,33 @@ def test_tf_idf(spark):
     ]
 
 
+@pytest.mark.parametrize("common", [3, 50_000])
+def test_tf_idf_of_repeated_keys_and_of_rare_terms(spark, common):
+    data = [(i, " ".join(f"{c}x" for c in "abcdefghijkl"[: 2 + i % 9]) + " ax" * (i % 4)) for i in range(30)]
+    data += [(3, "zx zx, ax"), (None, "ax bx"), (None, "BX;qx"), (40, ""), (41, None), (42, "?!")]
+    texts_of, df = {}, {}
+    for i, t in data:
+        texts_of.setdefault(i, []).extend(re.findall("[a-z]+", (t or "").lower()))
+    for ws in texts_of.values():
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+    want = []
+    for i, ws in texts_of.items():
+        best = sorted((-round(ws.count(w) * math.log((len(data) + 1) / (df[w] + 1)), 9), w) for w in set(ws))[:3]
+        want += [(i, p + 1, w, ws.count(w)) for p, (_, w) in enumerate(best)]
+    got = texts.tf_idf_terms(spark.createDataFrame(data, "id int, text string"), "id", "text", 3, common)
+    assert rows(got, "id", "position", "term", "n") == sorted(want, key=lambda r: [(v is not None, v) for v in r])
+
+
+def test_tf_idf_counts_words_where_the_text_lies(spark, monkeypatch):
+    """Counting over a shuffle, and joining every count by its term, moved the counts three times."""
+    counted, count = [], texts.term_counts
+    monkeypatch.setattr(texts, "term_counts", lambda df, *a: counted.append(df.count()) or count(df, *a))
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (2, "a"), (3, "b")], "id int, text string")
+    plan = texts.tf_idf_terms(docs, "id", "text", 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert counted == [2] and "strategy=broadcast" in plan
+
+
 def test_hosts_of_odd_addresses(spark):
     urls = ["http://a.org/x/y?q=1#f", "http://a.org", "not an address", None]
     got = texts.host_profile(spark.createDataFrame([(u,) for u in urls], "url string"), "url")
